@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from pyspark.sql import functions as F
+
+from . import lines, mixing
 from .common import table
 
 
@@ -10,9 +12,14 @@ def op9_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
-    return {"op9_mix": op9_mix}
+    return {"op9_mix": op9_mix, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql():
-    return {"op9_mix": mixing.MIX_SQL}
+    return {"op9_mix": mixing.MIX_SQL, "op10_line_dedup": lines.LINES_SQL}
