@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, mixing
+from . import lines, media, mixing
 from .common import table
 
 
@@ -17,8 +17,13 @@ def op10_line_dedup(spark, sf_dir):
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_media_columns(spark, sf_dir):
+    found = media.read_media(media.store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def queries():
-    return {"op9_mix": op9_mix, "op10_line_dedup": op10_line_dedup}
+    return {"op9_mix": op9_mix, "op10_line_dedup": op10_line_dedup, "op5_media_columns": op5_media_columns}
 
 
 def oracle_sql():
