@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing
+from . import lines, media, mixing, warc
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op5_media_columns(spark, sf_dir):
     return found.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
+
+
 def queries():
-    return {"op9_mix": op9_mix, "op10_line_dedup": op10_line_dedup, "op5_media_columns": op5_media_columns}
+    return {"op9_mix": op9_mix, "op4_warc": op4_warc, "op10_line_dedup": op10_line_dedup, "op5_media_columns": op5_media_columns}
 
 
 def oracle_sql():
-    return {"op9_mix": mixing.MIX_SQL, "op10_line_dedup": lines.LINES_SQL}
+    return {"op4_warc": warc.WARC_SQL, "op9_mix": mixing.MIX_SQL, "op10_line_dedup": lines.LINES_SQL}
