@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, warc
+from . import lines, media, mixing, simhash, warc
 from .common import table
 
 
@@ -26,8 +28,13 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
 
 
+def op1_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries():
-    return {"op9_mix": op9_mix, "op4_warc": op4_warc, "op10_line_dedup": op10_line_dedup, "op5_media_columns": op5_media_columns}
+    return {name: f for name, f in globals().items() if re.match(r"op\d+_", name)}
 
 
 def oracle_sql():
