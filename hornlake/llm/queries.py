@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, simhash, warc
+from . import lines, media, mixing, secrets, simhash, warc
 from .common import table
 
 
@@ -24,6 +24,17 @@ def op5_media_columns(spark, sf_dir):
     return found.select("row.doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op2_secret_scan(spark, sf_dir):
+    found = secrets.scan_once(table(spark, sf_dir, "documents"))
+    span = lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])
+    of = lambda kind: F.filter("findings", lambda f: f["kind"] == kind)
+    base = F.filter("findings", lambda f: f["kind"].isin(*secrets.BASE))
+    return found.select(
+        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE],
+        F.sha2(F.array_join(F.transform(base, span), ","), 256).alias("base_sha256"), F.array_join(F.transform("findings", span), ",").alias("spans"),
+    )
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
 
