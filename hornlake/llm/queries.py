@@ -6,10 +6,16 @@ import re
 
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, secrets, simhash, warc
+from . import langid, lines, media, mixing, secrets, simhash, warc
 from .common import table
 
 
+def op6_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "phrase_chars")
+
+
 def op9_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
