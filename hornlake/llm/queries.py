@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from . import langid, lines, media, mixing, secrets, simhash, warc
+from . import bpe, langid, lines, media, mixing, secrets, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,14 @@ def op6_language_id(spark, sf_dir):
     return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "phrase_chars")
 
 
+def op8_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return found.select("row.doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mix(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
