@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, media, mixing, secrets, simhash, warc
+from . import bpe, embed, langid, lines, media, mixing, secrets, simhash, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op6_language_id(spark, sf_dir):
     return found.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "phrase_chars")
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark, sf_dir):
     import public_tokenizers
 
