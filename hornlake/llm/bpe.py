@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -32,6 +31,8 @@ PART_CHARS = 12_000_000
 #: Words that are broadcast, those in most parts; and their longest.
 SHARED_WORDS = 1 << 19
 SHARED_BYTES = 64
+#: Words to a row when shared words are encoded.
+BLOCK = 4096
 #: Longer words are folded outside the fold, whose steps cost a word's length each.
 LONG = 512
 #: Unicode White_Space: what the pattern's \s stands for.
@@ -58,17 +59,17 @@ class Codec:
     ranks: dict[bytes, int]
     pattern: str
 
-    SLOTS = 1 << 17
+    SLOTS = 1 << 16
     MOVES = 1 << 14
 
     @cached_property
-    def _table(self) -> str:
-        """The rank map as JSON arrays: a perfect hash by xxhash64, whose buckets are moved to free slots."""
+    def table(self) -> pa.Array:
+        """The rank map as one struct value: a perfect hash by xxhash64 whose buckets are moved to free slots."""
         buckets: dict[int, list[tuple[int, bytes, int]]] = {}
         for piece, rank in self.ranks.items():
             h = xxhash.xxh64_intdigest(piece, 42)
             buckets.setdefault(h >> 45 & (self.MOVES - 1), []).append((h, piece, rank))
-        moves, slots = [0] * self.MOVES, [("", NONE)] * self.SLOTS
+        moves, slots = [0] * self.MOVES, [(b"", NONE)] * self.SLOTS
         for bucket, held in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
             move = 0
             while True:
@@ -78,27 +79,65 @@ class Codec:
                 move += 1
             moves[bucket] = move
             for i, (_, piece, rank) in zip(at, held, strict=True):
-                slots[i] = (base64.b64encode(piece).decode(), rank)
-        return json.dumps({"move": moves, "piece": [s[0] for s in slots], "rank": [s[1] for s in slots]}, separators=(",", ":"))
-
-    @cached_property
-    def _pieces(self) -> str:
-        pieces = [""] * (max(self.ranks.values()) + 1)
+                slots[i] = (piece, rank)
+        text = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
-            pieces[rank] = base64.b64encode(piece).decode()
-        return json.dumps(pieces, separators=(",", ":"))
+            text[rank] = piece
+        return pa.array([{"move": moves, "piece": [p for p, _ in slots], "rank": [r for _, r in slots], "text": text}], TABLE)
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """The same merges with a heap, for words over LONG bytes."""
+        if word in self.ranks:
+            return [self.ranks[word]]
+        n = len(word)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap: list[tuple[int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < n and (rank := self.ranks.get(word[i : after[j]])) is not None:
+                heapq.heappush(heap, (rank, i, after[j]))
+
+        for i in range(n):
+            offer(i)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            if not alive[i] or after[i] >= n or after[after[i]] != stop:
+                continue  # one of its halves has been merged since
+            j = after[i]
+            alive[j] = False
+            after[i] = stop
+            if stop < n:
+                before[stop] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        found, i = [], 0
+        while i < n:
+            found.append(self.ranks[word[i : after[i]]])
+            i = after[i]
+        return found
+
+
+TABLE = pa.struct([("move", pa.list_(pa.int32())), ("piece", pa.list_(pa.binary())), ("rank", pa.list_(pa.int32())), ("text", pa.list_(pa.binary()))])
+TABLE_DDL = "struct<move:array<int>,piece:array<binary>,rank:array<int>,text:array<binary>>"
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Column expressions over the rank map in a constant column: a literal of its size in every lambda of a plan is too much for a driver."""
+
+    table: Column
 
     def rank(self, piece: Column) -> Column:
         """The piece's rank, NONE if it has none."""
-        table = F.from_json(F.lit(self._table), "struct<move:array<int>,piece:array<binary>,rank:array<int>>")
 
-        def placed(h: Column) -> Column:
-            move = F.get(table["move"], F.shiftrightunsigned(h, 45).bitwiseAND(F.lit(self.MOVES - 1)).cast("int"))
+        def slot(h: Column) -> Column:
+            move = F.get(self.table["move"], F.shiftrightunsigned(h, 45).bitwiseAND(F.lit(Codec.MOVES - 1)).cast("int"))
             step = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(0xFFFFF)).bitwiseOR(F.lit(1)) * move
-            slot = (h.bitwiseAND(F.lit((1 << 40) - 1)) + step).bitwiseAND(F.lit(self.SLOTS - 1)).cast("int")
-            return _let(slot, lambda i: F.when(F.get(table["piece"], i) == piece, F.get(table["rank"], i)).otherwise(F.lit(NONE)))
+            return (h.bitwiseAND(F.lit((1 << 40) - 1)) + step).bitwiseAND(F.lit(Codec.SLOTS - 1)).cast("int")
 
-        return _let(F.xxhash64(piece), placed)
+        return _let(slot(F.xxhash64(piece)), lambda i: F.when(F.get(self.table["piece"], i) == piece, F.get(self.table["rank"], i)).otherwise(F.lit(NONE)))
 
     def encode(self, word: Column) -> Column:
         """The ids of a word of 1 to LONG bytes, as array<int>."""
@@ -130,41 +169,11 @@ class Codec:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their pieces, concatenated."""
-        pieces = F.from_json(F.lit(self._pieces), "array<binary>")
-        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(pieces, i)))
+        return F.aggregate(ids, F.lit(b""), lambda done, i: F.concat(done, F.get(self.table["text"], i)))
 
-    def encode_long(self, word: bytes) -> list[int]:
-        """The same merges with a heap, for words over LONG bytes."""
-        if word in self.ranks:
-            return [self.ranks[word]]
-        n = len(word)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (rank := self.ranks.get(word[i : after[j]])) is not None:
-                heapq.heappush(heap, (rank, i, after[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or after[i] >= n or after[after[i]] != stop:
-                continue  # one of its halves has been merged since
-            j = after[i]
-            alive[j] = False
-            after[i] = stop
-            if stop < n:
-                before[stop] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        found, i = [], 0
-        while i < n:
-            found.append(self.ranks[word[i : after[i]]])
-            i = after[i]
-        return found
+    def coded(self, words: str) -> Column:
+        """Structs of ids and bytes for an array of words."""
+        return F.transform(words, lambda word: _let(self.encode(word), lambda ids: F.struct(ids.alias("ids"), self.decode(ids).alias("bytes"))))
 
 
 def _let(value: Column, body) -> Column:
@@ -207,7 +216,7 @@ def _part(kind: pa.DataType, rows: list, counts: list[int], codes: list[np.ndarr
     )
 
 
-def _shared_words(parts: DataFrame, codec: Codec) -> pa.Table:
+def _shared_words(parts: DataFrame, plain) -> pa.Table:
     """word, ids, bytes of the words that lie in most parts, at most SHARED_WORDS."""
     in_parts = parts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     several = written(in_parts.where((F.col("n") > 1) & (F.octet_length("word") <= SHARED_BYTES)), "bpe-words")
@@ -217,7 +226,22 @@ def _shared_words(parts: DataFrame, codec: Codec) -> pa.Table:
         least -= 1
         held += tail.get(least, 0)
     picked = several.where(F.col("n") >= 1 << least).select("word")
-    return picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").select("word", codec.encode(F.col("word")).alias("ids")).select("word", "ids", codec.decode(F.col("ids")).alias("bytes")).toArrow()
+    blocks = picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").mapInArrow(_blocks(plain), f"words array<binary>, table {TABLE_DDL}")
+    coded = blocks.select("words", Folds(F.col("table")).coded("words").alias("coded"))
+    return coded.select(F.explode(F.arrays_zip("words", "coded")).alias("x")).select("x.words", "x.coded.ids", "x.coded.bytes").toArrow().rename_columns(["word", "ids", "bytes"])
+
+
+def _blocks(plain):
+    """Rows of BLOCK words and the rank map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = plain.value.table
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch["word"].slice(a, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(part)], part), table], ["words", "table"])
+
+    return run
 
 
 def _known(shared, long_codec):
@@ -243,8 +267,8 @@ def _known(shared, long_codec):
                 known_bytes = pa.ListArray.from_arrays([0, len(words)], data.take(take))
                 longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in long]
                 yield pa.RecordBatch.from_arrays(
-                    [part["rows"], part["counts"], part["codes"], known, known_bytes, pa.array([longs], pa.list_(LONGS)), pa.array([rare], pa.list_(pa.int32())), pa.array([[words[i] for i in rare]], pa.list_(pa.binary()))],
-                    ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare"],
+                    [part["rows"], part["counts"], part["codes"], known, known_bytes, pa.array([longs], pa.list_(LONGS)), pa.array([rare], pa.list_(pa.int32())), pa.array([[words[i] for i in rare]], pa.list_(pa.binary())), codec.table],
+                    ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
                 )
 
     return run
@@ -295,14 +319,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col="text", w
     rows = docs.select(others, F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     parts = written(rows.mapInArrow(_cut(pattern), f"rows array<{kind}>, counts binary, codes binary, words array<binary>"), "bpe-parts")
-    table = _shared_words(parts, codec)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as stream:
-        stream.write_table(table)
     context = spark.sparkContext
-    shared, plain = context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(Codec(codec.ranks, pattern))
-    schema = f"rows array<{kind}>, counts binary, codes binary, known array<array<int>>, known_bytes array<binary>, longs array<struct<at:int,ids:array<int>,bytes:binary>>, rare_at array<int>, rare array<binary>"
+    plain = context.broadcast(codec)
+    shared_words = _shared_words(parts, plain)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, shared_words.schema) as stream:
+        stream.write_table(shared_words)
+    shared = context.broadcast(sink.getvalue().to_pybytes())
+    schema = f"rows array<{kind}>, counts binary, codes binary, known array<array<int>>, known_bytes array<binary>, longs array<struct<at:int,ids:array<int>,bytes:binary>>, rare_at array<int>, rare array<binary>, table {TABLE_DDL}"
     known = parts.mapInArrow(_known(shared, plain), schema)
-    done = lambda word: _let(codec.encode(word), lambda ids: F.struct(ids.alias("ids"), codec.decode(ids).alias("bytes")))
-    whole = known.withColumn("rare", F.transform("rare", done))
+    whole = known.withColumn("rare", Folds(F.col("table")).coded("rare")).drop("table")
     return whole.mapInArrow(_assemble(with_ids), f"row {kind}, n_tokens long, ids_sha256 string, decoded binary, ids array<int>")
