@@ -4,7 +4,7 @@ Vectors are scaled to length 1 and cut in halves; a codebook for each half, trai
 of cells. Each vector is filed in the cell of its nearest codewords and asks the cells around it in the order of a
 multi-sequence traversal: by the sum of its distance bounds to the half cells, nearest first. At a target recall of 1
 it goes on while that bound leaves room for a link, so no link is missed; for a lower target the stop is calibrated
-on links of the sample. Candidates are verified in double precision inside their cell, which adds up links and emits
+on the links of a fixed number of queries with all vectors. Candidates are verified in double precision inside their cell, which adds up links and emits
 the edges of a spanning forest only. Cells over `BLOCK` vectors are dealt to several tasks.
 """
 
@@ -24,9 +24,15 @@ from .common import written
 from .components import Forest, components
 
 THRESHOLD = 0.9
-TARGET_RECALL = 1.0
-#: Vectors that the codebooks and the stop are fitted on.
+TARGET_RECALL = 0.999
+#: Vectors that the codebooks are fitted on.
 SAMPLE = 8000
+#: Vectors whose links with all others calibrate the stop, and the links that this takes at least.
+QUERIES = 512
+LEAST_LINKS = 100
+#: Steps in which bounds are counted, and the least stop, as a share of the greatest.
+STEPS = 2000
+LEAST_SHARE = 0.01
 #: Vectors a cell holds on average, and the most codewords of a half.
 PER_CELL = 64
 MAX_WORDS = 1024
@@ -100,22 +106,45 @@ class Grid:
                     heapq.heappush(heap, (float(sorted_low[0][a] + sorted_low[1][b]), a, b))
 
 
-def fit(sample: np.ndarray, total: int, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> Grid:
-    """Codebooks for about total / PER_CELL cells, and the stop of the traversal."""
+def fit(sample: np.ndarray, total: int, threshold: float = THRESHOLD) -> Grid:
+    """Codebooks for about total / PER_CELL cells, with the stop that misses no link."""
     rows = _unit(sample)
     k = int(max(1, min(MAX_WORDS, len(rows), round(math.sqrt(total / PER_CELL)))))
     cut = rows.shape[1] // 2
-    grid = Grid((kmeans(rows[:, :cut], k), kmeans(rows[:, cut:], k)), 2 - 2 * threshold + SLACK)
-    if target_recall < 1:
-        nearest, low = grid.bounds(rows)
-        needed = []
-        for a in range(0, len(rows), 512):
-            near = np.argwhere(rows[a : a + 512] @ rows.T >= threshold)
-            x, y = near[:, 0] + a, near[:, 1]
-            needed.append((low[0][x, nearest[0][y]] + low[1][x, nearest[1][y]])[x != y])
-        found = np.concatenate(needed) if needed else np.zeros(0)
-        if len(found):
-            grid.limit = min(grid.limit, float(np.quantile(found, target_recall)) + SLACK)
+    return Grid((kmeans(rows[:, :cut], k), kmeans(rows[:, cut:], k)), 2 - 2 * threshold + SLACK)
+
+
+def _needs(shared, threshold: float):
+    """(step, n): how many links of the queries need a stop of that step, counted over all vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, nodes, queries = shared.value
+        low = grid.bounds(queries)[1]
+        counts = np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                rows = _unit(_rows(part["data"]))
+                q, x = np.nonzero((queries @ rows.T >= threshold) & (nodes[:, None] != part["node"].to_numpy(zero_copy_only=False)[None, :]))
+                cells = grid.bounds(rows)[0]
+                bound = low[0][q, cells[0][x]] + low[1][q, cells[1][x]]
+                counts += np.bincount(np.minimum(np.ceil(bound / grid.limit * STEPS).astype(int), STEPS), minlength=STEPS + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(counts)], ["step", "n"])
+
+    return run
+
+
+def _calibrated(grid: Grid, distinct: DataFrame, threshold: float, target_recall: float) -> Grid:
+    """grid with the least stop at which the queries find target_recall of their links; as it is if they have few."""
+    picked = distinct.orderBy(F.xxhash64("data")).limit(QUERIES).select("node", "data").toArrow()
+    shared = distinct.sparkSession.sparkContext.broadcast((grid, picked["node"].to_numpy(), _unit(_rows(picked["data"].combine_chunks()))))
+    found = distinct.select("node", "data").mapInArrow(_needs(shared, threshold), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(STEPS + 1, np.int64)
+    for row in found:
+        counts[row["step"]] = row["n"]
+    if counts.sum() >= LEAST_LINKS:
+        step = int(np.searchsorted(np.cumsum(counts), target_recall * counts.sum()))
+        grid.limit *= max(LEAST_SHARE, step / STEPS)
     return grid
 
 
@@ -277,7 +306,10 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     total = distinct.count()
     if total:
         sample = _rows(distinct.orderBy(F.xxhash64("data")).limit(SAMPLE).select("data").toArrow()["data"].combine_chunks())
-        shared = spark.sparkContext.broadcast(fit(sample, total, threshold, target_recall))
+        grid = fit(sample, total, threshold)
+        if target_recall < 1:
+            grid = _calibrated(grid, distinct, threshold, target_recall)
+        shared = spark.sparkContext.broadcast(grid)
         placed = written(distinct.select("node", "copies", "data").mapInArrow(_placed(shared), "c1 int, c2 int, home boolean, node long, copies long, data binary"), "embed-cells")
         found = _dealt(placed, block).mapInArrow(_verify(shared, threshold, target_recall >= 1), "src long, dst long, n long")
     else:
