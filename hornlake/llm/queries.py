@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, lines, media, mixing, secrets, simhash, warc
+from . import bpe, chunks, embed, langid, lines, media, mixing, secrets, simhash, warc
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op2_secret_scan(spark, sf_dir):
     )
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return chunks.repeats_by_document(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
 
