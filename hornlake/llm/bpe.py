@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Documents and characters of a part, whichever is reached first.
-PART_DOCS = 6000
-PART_CHARS = 12_000_000
+PART_DOCS = 4000
+PART_CHARS = 8_000_000
 #: Words that are broadcast, those in most parts; and their longest.
 SHARED_WORDS = 1 << 19
 SHARED_BYTES = 64
@@ -284,25 +284,26 @@ def _assemble(with_ids: bool):
                 part = batch.slice(k, 1)
                 rows = part["rows"].flatten()
                 counts = np.frombuffer(part["counts"][0].as_py(), np.int32)
-                codes = np.frombuffer(part["codes"][0].as_py(), np.int32).tolist()
+                codes = np.frombuffer(part["codes"][0].as_py(), np.int32)
                 ids, data = part["known"][0].as_py(), part["known_bytes"][0].as_py()
                 for place, found in zip(part["rare_at"][0].as_py(), part["rare"][0].as_py(), strict=True):
                     ids[place], data[place] = found["ids"], found["bytes"]
                 for found in part["longs"][0].as_py():
                     ids[found["at"]], data[found["at"]] = found["ids"], found["bytes"]
-                sizes, texts = [len(x) for x in ids], [",".join(map(str, x)) for x in ids]
-                low, out = 0, ([], [], [], [])
-                for n in counts.tolist():
-                    own = codes[low : low + n]
-                    low += n
-                    out[0].append(sum([sizes[c] for c in own]))
-                    out[1].append(hashlib.sha256(",".join([texts[c] for c in own]).encode()).hexdigest())
-                    out[2].append(b"".join([data[c] for c in own]))
-                    out[3].append([i for c in own for i in ids[c]] if with_ids else None)
-                step = 500
-                for a in range(0, len(counts), step):
-                    arrays = [rows.slice(a, step), pa.array(out[0][a : a + step], pa.int64()), pa.array(out[1][a : a + step], pa.string()), pa.array(out[2][a : a + step], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[3][a : a + step], pa.list_(pa.int32()))], ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
+                sizes, texts = np.array([len(x) for x in ids], np.int64), [",".join(map(str, x)) for x in ids]
+                low = 0
+                for a in range(0, len(counts), 500):
+                    out: tuple[list, ...] = ([], [], [], [])
+                    for n in counts[a : a + 500].tolist():
+                        own = codes[low : low + n]
+                        low += n
+                        out[0].append(int(sizes[own].sum()))
+                        own = own.tolist()
+                        out[1].append(hashlib.sha256(",".join([texts[c] for c in own]).encode()).hexdigest())
+                        out[2].append(b"".join([data[c] for c in own]))
+                        out[3].append([i for c in own for i in ids[c]] if with_ids else None)
+                    arrays = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())), strict=True)]
+                    yield pa.RecordBatch.from_arrays([rows.slice(a, 500), *arrays], ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
 
     return run
 
