@@ -86,7 +86,7 @@ def repeated_passages(docs: DataFrame, *, id_col="doc_id", text_col="text", min_
     """doc_id, start, stop (bytes of the text), first_doc_id of each passage that another document holds as well.
 
     first_doc_id is the smallest id that holds a chunk of the passage. Null and empty texts have no passage. Repeats
-    within a document are none. Rows that share an id count as one document, whose passages may overlap; null ids
+    within a document are none. Rows that share an id count as one document, whose passages are joined where they meet; null ids
     count as one document after all others. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
@@ -95,7 +95,8 @@ def repeated_passages(docs: DataFrame, *, id_col="doc_id", text_col="text", min_
     shared = written(shared, "chunk-shared")
     placed = rows.mapInArrow(_chunks(True), "doc_id long, digest binary, start int, stop int").join(shared, "digest")
     along = Window.partitionBy("doc_id").orderBy("start", "stop")  # the chunks of one document
-    marked = placed.withColumn("new", F.when(F.lag("stop").over(along) == F.col("start"), 0).otherwise(1))
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    marked = placed.withColumn("new", F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(along)).groupBy("doc_id", "run")
     found = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id")).where(F.col("stop") - F.col("start") >= min_passage)
     plain = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)

@@ -151,6 +151,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _probes(part: int, own, flips: list[int]):
+    """Rows that probe the values around own."""
+    return F.transform(F.lit([_signed(x) for x in flips]).cast("array<bigint>"), lambda flip: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(flip).alias("key"), F.lit(False).alias("filed")))
+
+
 def _signatures(prints: DataFrame, plan: Plan) -> DataFrame:
     """(part, key, fp, filed): a filed row for each partition in use, and a row for each probe around it."""
     rows = []
@@ -158,8 +163,7 @@ def _signatures(prints: DataFrame, plan: Plan) -> DataFrame:
         own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
         rows.append(F.array(F.struct(F.lit(i).alias("part"), own.alias("key"), F.lit(True).alias("filed"))))
         if flips:
-            probe = lambda flip, i=i, own=own: F.struct(F.lit(i).alias("part"), own.bitwiseXOR(flip).alias("key"), F.lit(False).alias("filed"))
-            rows.append(F.transform(F.lit([_signed(x) for x in flips]).cast("array<bigint>"), probe))
+            rows.append(_probes(i, own, flips))
     return prints.select("fp", F.explode(F.concat(*rows)).alias("s")).select("s.part", "s.key", "s.filed", "fp")
 
 
