@@ -138,13 +138,13 @@ class Engine:
         return self._write_log(log.unionByName(changelog.append(log, changes, last)), last + n)
 
     def _write_log(self, log: DataFrame, last: int) -> int:
-        self.store.write("changelog", changelog.sequenced(log))
+        self.store.write("changelog", changelog.sequenced(log, last))
         top = self.table("changelog").agg(F.max("change_seq")).first()[0] or 0
         self._set("sequence", max(last, top))
         return max(last, top)
 
     def changes(self) -> DataFrame:
-        return changelog.sequenced(self.table("changelog"))
+        return changelog.sequenced(self.table("changelog"), self._value("sequence"))
 
     def pending(self, limit: int = 1000) -> DataFrame:
         return changelog.pending(self.changes(), self.cursor(), limit)

@@ -29,9 +29,9 @@ def append(log: DataFrame, changes: DataFrame, last_seq: int = 0) -> DataFrame:
     return kept.select(*names)
 
 
-def sequenced(log: DataFrame) -> DataFrame:
-    """log with numbers after the last one for entries that have none, by time; those are few, from triggers."""
-    last = log.agg(F.coalesce(F.max("change_seq"), F.lit(0)).alias("last"))
+def sequenced(log: DataFrame, last_seq: int = 0) -> DataFrame:
+    """log with numbers after the last one given out for entries that have none, by time; those are few, from triggers."""
+    last = log.agg(F.greatest(F.coalesce(F.max("change_seq"), F.lit(0)), F.lit(last_seq)).alias("last"))
     missing = log.where(F.col("change_seq").isNull())
     order = Window.orderBy("created_at", "dedup_key")
     numbered = missing.crossJoin(F.broadcast(last)).withColumn("change_seq", F.col("last") + F.row_number().over(order)).drop("last")  # last: a single row
