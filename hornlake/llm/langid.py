@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bounds of the training sample: documents a language, characters of each, and languages (the most frequent).
-SAMPLE_DOCS = 100
-SAMPLE_CHARS = 400
+SAMPLE_DOCS = 80
+SAMPLE_CHARS = 300
 MAX_LANGS = 32
 #: Characters with a class of their own; all others share one.
-ALPHABET = 96
+ALPHABET = 64
 #: Characters of a window. A parse starts anew in each, which costs every language a phrase at most.
 WINDOW = 512
+#: Texts parsed together.
+SLICE = 500
 UNDETERMINED = "und"
 
 
@@ -139,7 +141,7 @@ def build(samples: dict[str, list[str]]) -> Model:
     langs = sorted(samples)
     folded = {x: [_fold(t) for t in samples[x]] for x in langs}
     common = [c for c, _ in sorted(Counter("".join("".join(t) for t in folded.values())).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
-    classes = np.full(0x3000, ALPHABET - 2, np.int64)  # class of characters that no sample has often
+    classes = np.full(0x3000, ALPHABET - 2, np.uint8)  # class of characters that no sample has often
     for i, c in enumerate(common):
         if ord(c) < len(classes) - 1:
             classes[ord(c)] = i
@@ -178,8 +180,8 @@ def _predict(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
                 texts = part["text"].to_pylist()
                 out = model.predict(texts)
                 arrays = [pa.array([o[0] for o in out], pa.string()), *(pa.array([o[i] for o in out], pa.float64()) for i in (1, 2))]
