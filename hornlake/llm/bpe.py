@@ -18,6 +18,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ from .common import written
 PART_DOCS = 4000
 PART_CHARS = 8_000_000
 #: Words that are broadcast, those in most parts; and their longest.
-SHARED_WORDS = 1 << 19
+SHARED_WORDS = 1 << 20
 SHARED_BYTES = 64
 #: Words to a row when shared words are encoded.
 BLOCK = 4096
@@ -146,19 +147,18 @@ class Folds:
         def step(state: Column, _: Column) -> Column:
             parts, ranks = state["parts"], state["ranks"]
 
-            def at(i: Column) -> Column:  # the first pair of least rank is (i, i + 1), from 1
+            def at(i: Column) -> Column:  # the first pair of least rank is (i, i + 1), from 0
                 def merged(piece: Column) -> Column:
-                    before = F.when(i > 1, F.concat(F.slice(ranks, 1, i - 2), F.array(self.rank(F.concat(F.get(parts, i - 2), piece)))))
-                    after = F.when(i + 1 < F.size(parts), F.concat(F.array(self.rank(F.concat(piece, F.get(parts, i + 1)))), F.slice(ranks, i + 2, F.size(parts))))
-                    return F.struct(
-                        F.concat(F.slice(parts, 1, i - 1), F.array(piece), F.slice(parts, i + 2, F.size(parts))).alias("parts"),
-                        F.concat(before.otherwise(_no_ints()), after.otherwise(_no_ints())).alias("ranks"),
+                    joined = F.transform(parts, lambda x, j: F.when(j == i, piece).otherwise(x))
+                    around = lambda x, j: (
+                        F.when((j < i - 1) | (j > i + 1), x).when(j == i - 1, self.rank(F.concat(F.get(parts, j), piece))).when(j == i + 1, self.rank(F.concat(piece, F.get(parts, i + 2)))).otherwise(x)
                     )
+                    return F.struct(F.filter(joined, lambda _, j: j != i + 1).alias("parts"), F.filter(F.transform(ranks, around), lambda _, j: j != i).alias("ranks"))
 
-                return _let(F.concat(F.get(parts, i - 1), F.get(parts, i)), merged)
+                return _let(F.concat(F.get(parts, i), F.get(parts, i + 1)), merged)
 
             least = F.array_min(F.transform(ranks, lambda r, j: r.cast("long") * (2 * LONG) + j))
-            return _let(least, lambda x: F.when(x < NONE * 2 * LONG, _let((x % (2 * LONG)).cast("int") + 1, at)).otherwise(state))
+            return _let(least, lambda x: F.when(x < NONE * 2 * LONG, _let((x % (2 * LONG)).cast("int"), at)).otherwise(state))
 
         start = F.struct(
             F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1))).alias("parts"),
@@ -181,10 +181,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _no_ints() -> Column:
-    return F.array().cast("array<int>")
-
-
 def _cut(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = compiled(pattern).findall
@@ -245,29 +241,26 @@ def _blocks(plain):
 
 
 def _known(shared, long_codec):
+    """Rows of parts with what the shared words give for theirs, and the rest to be encoded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codec = pa.ipc.open_stream(shared.value).read_all(), long_codec.value
-        at = {word: i for i, word in enumerate(table["word"].to_pylist())}
-        ids, data = table["ids"].combine_chunks(), table["bytes"].combine_chunks()
-        if isinstance(ids, pa.ChunkedArray):
-            ids, data = pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())
+        table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), long_codec.value
+        word, ids, data = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids", "bytes"))
         pieces = {rank: piece for piece, rank in codec.ranks.items()}
         for batch in batches:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
-                words = part["words"][0].as_py()
-                places = [at.get(word, -1) for word in words]
-                rare = [i for i, p in enumerate(places) if p < 0]
-                long = [(i, codec.encode_long(words[i])) for i in rare if len(words[i]) > LONG]
-                long += [(i, []) for i in rare if not words[i]]
-                skip = {i for i, _ in long}
-                rare = [i for i in rare if i not in skip]
-                take = pa.array([p if p >= 0 else None for p in places], pa.int64())
-                known = pa.ListArray.from_arrays([0, len(words)], ids.take(take))
-                known_bytes = pa.ListArray.from_arrays([0, len(words)], data.take(take))
-                longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in long]
+                words = part["words"].flatten()
+                at = pc.index_in(words, value_set=word)
+                sizes = pc.binary_length(words)
+                odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
+                rare = pc.and_(pc.is_null(at), pc.invert(odd))
+                longs = [(i, codec.encode_long(words[i].as_py())) for i in pc.indices_nonzero(odd).to_pylist()]
+                longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in longs]
+                whole = [0, len(words)]
+                rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), words.filter(rare)
                 yield pa.RecordBatch.from_arrays(
-                    [part["rows"], part["counts"], part["codes"], known, known_bytes, pa.array([longs], pa.list_(LONGS)), pa.array([rare], pa.list_(pa.int32())), pa.array([[words[i] for i in rare]], pa.list_(pa.binary())), codec.table],
+                    [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, ids.take(at)), pa.ListArray.from_arrays(whole, data.take(at)), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
                     ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
                 )
 
@@ -277,33 +270,42 @@ def _known(shared, long_codec):
 LONGS = pa.struct([("at", pa.int32()), ("ids", pa.list_(pa.int32())), ("bytes", pa.binary())])
 
 
+def _listed(values: pa.Array, codes: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """values at codes, as one list for each of counts."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values.take(pa.array(codes)))
+
+
 def _assemble(with_ids: bool):
+    """A row for each document from its part's codes and the ids and bytes of the part's words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 part = batch.slice(k, 1)
-                rows = part["rows"].flatten()
-                counts = np.frombuffer(part["counts"][0].as_py(), np.int32)
-                codes = np.frombuffer(part["codes"][0].as_py(), np.int32)
-                ids, data = part["known"][0].as_py(), part["known_bytes"][0].as_py()
-                for place, found in zip(part["rare_at"][0].as_py(), part["rare"][0].as_py(), strict=True):
-                    ids[place], data[place] = found["ids"], found["bytes"]
-                for found in part["longs"][0].as_py():
-                    ids[found["at"]], data[found["at"]] = found["ids"], found["bytes"]
-                sizes, texts = np.array([len(x) for x in ids], np.int64), [",".join(map(str, x)) for x in ids]
-                low = 0
-                for a in range(0, len(counts), 500):
-                    out: tuple[list, ...] = ([], [], [], [])
-                    for n in counts[a : a + 500].tolist():
-                        own = codes[low : low + n]
-                        low += n
-                        out[0].append(int(sizes[own].sum()))
-                        own = own.tolist()
-                        out[1].append(hashlib.sha256(",".join([texts[c] for c in own]).encode()).hexdigest())
-                        out[2].append(b"".join([data[c] for c in own]))
-                        out[3].append([i for c in own for i in ids[c]] if with_ids else None)
-                    arrays = [pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())), strict=True)]
-                    yield pa.RecordBatch.from_arrays([rows.slice(a, 500), *arrays], ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
+                rows, rare, longs = part["rows"].flatten(), part["rare"].flatten(), part["longs"].flatten()
+                known, known_bytes = part["known"].flatten(), part["known_bytes"].flatten()
+                place = np.arange(len(known), dtype=np.int64)
+                place[part["rare_at"].flatten().to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(rare))
+                place[longs.field("at").to_numpy(zero_copy_only=False)] = len(known) + len(rare) + np.arange(len(longs))
+                place = pa.array(place)
+                ids = pa.concat_arrays([known, rare.field("ids").cast(known.type), longs.field("ids").cast(known.type)]).take(place)
+                data = pa.concat_arrays([known_bytes, rare.field("bytes"), longs.field("bytes")]).take(place)
+                sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = pc.binary_join(ids.cast(pa.list_(pa.string())), ",")
+                counts, codes, low = np.frombuffer(part["counts"][0].as_py(), np.int32), np.frombuffer(part["codes"][0].as_py(), np.int32), 0
+                for a in range(0, len(counts), 200):
+                    own = counts[a : a + 200]
+                    some = codes[low : low + int(own.sum())]
+                    low += len(some)
+                    tokens = np.concatenate([[0], np.cumsum(sizes[some])])
+                    bounds = tokens[np.concatenate([[0], np.cumsum(own)])]
+                    joined = pc.binary_join(_listed(texts, some, own), ",").cast(pa.binary())
+                    digests = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in joined]
+                    decoded = pc.binary_join(_listed(data, some, own), b"")
+                    each = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.take(pa.array(some)).flatten()) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
+                    arrays = [rows.slice(a, 200), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), decoded, each]
+                    yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
 
     return run
 
