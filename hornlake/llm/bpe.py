@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 #: Documents and characters of a part, whichever is reached first.
 PART_DOCS = 4000
@@ -185,8 +185,8 @@ def _cut(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = compiled(pattern).findall
         rows, counts, codes, places, chars = [], [], [], {}, 0
-        for batch in batches:
-            for row, text in zip(batch["row"], batch["text"].to_pylist(), strict=True):
+        for batch in slices(batches):
+            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = [places.setdefault(word, len(places)) for word in find(text or "")]
                 rows.append(row)
                 counts.append(len(own))
@@ -196,7 +196,6 @@ def _cut(pattern: str):
                     yield _part(batch["row"].type, rows, counts, codes, places)
                     rows, counts, codes, places, chars = [], [], [], {}, 0
             kind = batch["row"].type
-            rows = [pa.scalar(r.as_py(), kind) for r in rows]  # lets go of the batch
         if rows:
             yield _part(kind, rows, counts, codes, places)
 
@@ -206,7 +205,7 @@ def _cut(pattern: str):
 def _part(kind: pa.DataType, rows: list, counts: list[int], codes: list[np.ndarray], places: dict[str, int]) -> pa.RecordBatch:
     words = [w.encode("utf-8", "replace") for w in places]
     blobs = [np.array(counts, np.int32).tobytes(), np.concatenate(codes).tobytes()]
-    held = pa.array([[r.as_py() for r in rows]], pa.list_(kind))
+    held = pa.array([rows], pa.list_(kind))
     return pa.RecordBatch.from_arrays(
         [held, pa.array([blobs[0]], pa.binary()), pa.array([blobs[1]], pa.binary()), pa.array([words], pa.list_(pa.binary()))], ["rows", "counts", "codes", "words"]
     )
@@ -247,22 +246,20 @@ def _known(shared, long_codec):
         table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), long_codec.value
         word, ids, data = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids", "bytes"))
         pieces = {rank: piece for piece, rank in codec.ranks.items()}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                words = part["words"].flatten()
-                at = pc.index_in(words, value_set=word)
-                sizes = pc.binary_length(words)
-                odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
-                rare = pc.and_(pc.is_null(at), pc.invert(odd))
-                longs = [(i, codec.encode_long(words[i].as_py())) for i in pc.indices_nonzero(odd).to_pylist()]
-                longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in longs]
-                whole = [0, len(words)]
-                rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), words.filter(rare)
-                yield pa.RecordBatch.from_arrays(
-                    [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, ids.take(at)), pa.ListArray.from_arrays(whole, data.take(at)), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
-                    ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
-                )
+        for part in slices(batches, 1):
+            words = part["words"].flatten()
+            at = pc.index_in(words, value_set=word)
+            sizes = pc.binary_length(words)
+            odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
+            rare = pc.and_(pc.is_null(at), pc.invert(odd))
+            longs = [(i, codec.encode_long(words[i].as_py())) for i in pc.indices_nonzero(odd).to_pylist()]
+            longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in longs]
+            whole = [0, len(words)]
+            rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), words.filter(rare)
+            yield pa.RecordBatch.from_arrays(
+                [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, ids.take(at)), pa.ListArray.from_arrays(whole, data.take(at)), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
+                ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
+            )
 
     return run
 
@@ -280,32 +277,30 @@ def _assemble(with_ids: bool):
     """A row for each document from its part's codes and the ids and bytes of the part's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part = batch.slice(k, 1)
-                rows, rare, longs = part["rows"].flatten(), part["rare"].flatten(), part["longs"].flatten()
-                known, known_bytes = part["known"].flatten(), part["known_bytes"].flatten()
-                place = np.arange(len(known), dtype=np.int64)
-                place[part["rare_at"].flatten().to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(rare))
-                place[longs.field("at").to_numpy(zero_copy_only=False)] = len(known) + len(rare) + np.arange(len(longs))
-                place = pa.array(place)
-                ids = pa.concat_arrays([known, rare.field("ids").cast(known.type), longs.field("ids").cast(known.type)]).take(place)
-                data = pa.concat_arrays([known_bytes, rare.field("bytes"), longs.field("bytes")]).take(place)
-                sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = pc.binary_join(ids.cast(pa.list_(pa.string())), ",")
-                counts, codes, low = np.frombuffer(part["counts"][0].as_py(), np.int32), np.frombuffer(part["codes"][0].as_py(), np.int32), 0
-                for a in range(0, len(counts), 200):
-                    own = counts[a : a + 200]
-                    some = codes[low : low + int(own.sum())]
-                    low += len(some)
-                    tokens = np.concatenate([[0], np.cumsum(sizes[some])])
-                    bounds = tokens[np.concatenate([[0], np.cumsum(own)])]
-                    joined = pc.binary_join(_listed(texts, some, own), ",").cast(pa.binary())
-                    digests = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in joined]
-                    decoded = pc.binary_join(_listed(data, some, own), b"")
-                    each = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.take(pa.array(some)).flatten()) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
-                    arrays = [rows.slice(a, 200), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), decoded, each]
-                    yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
+        for part in slices(batches, 1):
+            rows, rare, longs = part["rows"].flatten(), part["rare"].flatten(), part["longs"].flatten()
+            known, known_bytes = part["known"].flatten(), part["known_bytes"].flatten()
+            place = np.arange(len(known), dtype=np.int64)
+            place[part["rare_at"].flatten().to_numpy(zero_copy_only=False)] = len(known) + np.arange(len(rare))
+            place[longs.field("at").to_numpy(zero_copy_only=False)] = len(known) + len(rare) + np.arange(len(longs))
+            place = pa.array(place)
+            ids = pa.concat_arrays([known, rare.field("ids").cast(known.type), longs.field("ids").cast(known.type)]).take(place)
+            data = pa.concat_arrays([known_bytes, rare.field("bytes"), longs.field("bytes")]).take(place)
+            sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = pc.binary_join(ids.cast(pa.list_(pa.string())), ",")
+            counts, codes, low = np.frombuffer(part["counts"][0].as_py(), np.int32), np.frombuffer(part["codes"][0].as_py(), np.int32), 0
+            for a in range(0, len(counts), 200):
+                own = counts[a : a + 200]
+                some = codes[low : low + int(own.sum())]
+                low += len(some)
+                tokens = np.concatenate([[0], np.cumsum(sizes[some])])
+                bounds = tokens[np.concatenate([[0], np.cumsum(own)])]
+                joined = pc.binary_join(_listed(texts, some, own), ",").cast(pa.binary())
+                digests = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in joined]
+                decoded = pc.binary_join(_listed(data, some, own), b"")
+                each = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.take(pa.array(some)).flatten()) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
+                arrays = [rows.slice(a, 200), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), decoded, each]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
 
     return run
 

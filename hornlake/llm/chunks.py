@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, slices, written
 
 #: Least and greatest bytes of a chunk, and the leading zero bits of the hash that end one.
 LEAST, MOST, ZERO_BITS = 16, 128, 4
@@ -60,24 +60,22 @@ def boundaries(data: bytes) -> list[int]:
 def _chunks(places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                ids, digests, starts, stops = [], [], [], []
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    ends = boundaries(text)
-                    begins = [0, *ends[:-1]] if ends else []
-                    own = [digest(text[a:b]) for a, b in zip(begins, ends, strict=True)]
-                    if not places:
-                        own = list(set(own))
-                    digests += own
-                    ids += [doc_id] * len(own)
-                    starts += begins
-                    stops += ends
-                columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary())]
-                if places:
-                    columns += [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "start", "stop"][: len(columns)])
+        for part in slices(batches):
+            ids, digests, starts, stops = [], [], [], []
+            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                ends = boundaries(text)
+                begins = [0, *ends[:-1]] if ends else []
+                own = [digest(text[a:b]) for a, b in zip(begins, ends, strict=True)]
+                if not places:
+                    own = list(set(own))
+                digests += own
+                ids += [doc_id] * len(own)
+                starts += begins
+                stops += ends
+            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary())]
+            if places:
+                columns += [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "start", "stop"][: len(columns)])
 
     return run
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +47,26 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: idle Python workers stay beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, which bounds what a worker holds as Python objects; then release()."""
+    try:
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows):
+                yield batch.slice(low, rows)
+    finally:
+        release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Bounds of the training sample: documents a language, characters of each, and languages (the most frequent).
 SAMPLE_DOCS = 80
 SAMPLE_CHARS = 300
@@ -179,13 +181,10 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang")
 def _predict(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, SLICE):
-                part = batch.slice(low, SLICE)
-                texts = part["text"].to_pylist()
-                out = model.predict(texts)
-                arrays = [pa.array([o[0] for o in out], pa.string()), *(pa.array([o[i] for o in out], pa.float64()) for i in (1, 2))]
-                yield pa.RecordBatch.from_arrays([*(part[n] for n in names), *arrays], [*names, "lang_pred", "score", "phrase_chars"])
+        for part in slices(batches, SLICE):
+            out = model.predict(part["text"].to_pylist())
+            arrays = [pa.array([o[0] for o in out], pa.string()), *(pa.array([o[i] for o in out], pa.float64()) for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([*(part[n] for n in names), *arrays], [*names, "lang_pred", "score", "phrase_chars"])
 
     return run
 

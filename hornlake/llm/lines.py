@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, remove, scratch, written
+from .common import as_bytes, remove, scratch, slices, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -40,7 +40,7 @@ def _digest(key: bytes) -> bytes:
 
 def _line_hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = {_digest(key) for key in (line_key(line, min_chars) for line in text.split(b"\n")) if key is not None}
@@ -135,7 +135,7 @@ def _dropped(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> list
 
 def _rewrite(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, dropped, kept = [], [], []
             for text, gone in zip(batch["text"].to_pylist(), batch["gone"].to_pylist(), strict=True):
                 lines = text.split(b"\n")

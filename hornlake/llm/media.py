@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, slices, written
 
 #: Bytes of a sample, and what pads the last one.
 SAMPLE = 576
@@ -191,16 +191,13 @@ def describe(tracks: list[Track]) -> str:
 
 
 def _wrap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        # Slices keep the containers of one Arrow batch within tens of MB.
-        for low in range(0, batch.num_rows, 512):
-            part = batch.slice(low, 512)
-            texts = part["text"].to_pylist()
-            yield pa.RecordBatch.from_arrays([part["row"], pa.array(map(len, texts), pa.int64()), pa.array((wrap(pad(x)) for x in texts), pa.binary())], ["row", "n_bytes", "media"])
+    for part in slices(batches):
+        texts = part["text"].to_pylist()
+        yield pa.RecordBatch.from_arrays([part["row"], pa.array(map(len, texts), pa.int64()), pa.array((wrap(pad(x)) for x in texts), pa.binary())], ["row", "n_bytes", "media"])
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for data in batch["media"].to_pylist():
             tracks, media = walk(data)

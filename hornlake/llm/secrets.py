@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, scratch, written
+from .common import as_bytes, scratch, slices, written
 
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -81,7 +81,7 @@ def _scan(rules: tuple[Rule, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             digests, names, spans = [], [], []
             for digest, text, seen in zip(batch["digest"].to_pylist(), batch["text"].to_pylist(), batch["seen"].to_pylist(), strict=True):
                 text = text.decode("utf-8", "replace")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, slices, written
 from .components import Forest, components
 
 WORDS = 3
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(x, words) for x in batch["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values)], ["doc_id", "fp"])
 
