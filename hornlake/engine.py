@@ -29,7 +29,8 @@ class Engine:
         self.settings = settings or Settings.from_environment()
 
     def table(self, name: str) -> DataFrame:
-        return self.store.read(name, TABLES[name])
+        found = self.store.read(name, TABLES[name])
+        return found.select(*[c.split()[0] for c in TABLES[name].split(", ")]) if name == "edges" else found
 
     def health(self) -> dict[str, int]:
         """The version of each table, 0 if it has none."""
@@ -42,7 +43,8 @@ class Engine:
                 self.store.write(name, self.spark.createDataFrame([], ddl))
 
     def load(self, edges: DataFrame) -> None:
-        self.store.write("edges", as_facts(edges))
+        """Replace the graph. Edges are stored by relation, so a typed scan reads its own files only."""
+        self.store.write("edges", as_facts(edges), partition_by="rel")
 
     # Mining -----------------------------------------------------------------------------------------------------
 
@@ -93,7 +95,7 @@ class Engine:
         """Apply the adopted rules. Conflict pairs: those given, else those stored, else those of the settings."""
         against = pairs or conflicts.as_mapping(self.table("conflict_rules")) or self.settings.conflict_pairs
         done = infer(self.table("edges"), self.table("rules"), config or InferenceConfig(), conflicts=against, cases=self.table("conflict_cases"), now=self.clock())
-        self.store.write("edges", self.table("edges").unionByName(done.created))
+        self.store.write("edges", self.table("edges").unionByName(done.created), partition_by="rel")
         self.store.write("rules", done.rules)
         self.store.write("conflict_cases", done.cases)
         return done

@@ -46,11 +46,12 @@ class Store:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(f"{self.root}/{name}/v={versions[-1]}")
 
-    def write(self, name: str, df: DataFrame, keep: int = 2) -> int:
-        """A new snapshot; all but the last keep ones go."""
+    def write(self, name: str, df: DataFrame, keep: int = 2, partition_by: str | None = None) -> int:
+        """A new snapshot; all but the last keep ones go. Rows of a partition are spread by size, so none lands in one task."""
         versions = self.versions(name)
         version = (versions[-1] if versions else 0) + 1
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
+        writer = (df if partition_by is None else df.hint("rebalance", partition_by)).write.mode("overwrite")
+        (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(f"{self.root}/{name}/v={version}")
         for old in versions[: max(0, len(versions) + 1 - keep)]:
             self._fs().delete(self._path(f"{self.root}/{name}/v={old}"), True)
         return version
