@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 #: Documents and characters of a part, whichever is reached first.
-PART_DOCS = 4000
-PART_CHARS = 8_000_000
+PART_DOCS = 2000
+PART_CHARS = 4_000_000
+#: Bytes of an Arrow batch on its way to a worker; a row may be larger.
+BATCH_BYTES = 8 << 20
 #: Words that are broadcast, those in most parts; and their longest.
 SHARED_WORDS = 1 << 20
 SHARED_BYTES = 64
@@ -310,8 +312,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col="text", w
 
     Null and empty texts have no tokens. Special tokens are ordinary text. Words of any length are encoded whole.
     Rows of any id, null or repeated, are kept one by one; other columns ride along in row. Empty table: no rows.
+    Sets the session's Arrow batches to BATCH_BYTES, as rows are parts of megabytes.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     codec = Codec(load_ranks(ranks_path), pattern)
     others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != text_col]).alias("row")
     rows = docs.select(others, F.col(text_col).cast("string").alias("text"))
