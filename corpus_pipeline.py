@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornlake.llm import bpe, langid, lines, mixing, simhash
+from hornlake.llm import bpe, langid, lines, mixing, shingles
 from hornlake.llm.common import table, written
 
 
@@ -30,9 +30,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group linked by Jaccard similarity >= 0.8 of five-word shingles, that with the smallest doc_id."""
+    found = written(shingles.near_duplicates(docs), "pipeline-groups")
+    first = found.groupBy("group").agg(F.min("doc_id").alias("first"))
+    gone = found.join(first, "group").where(F.col("doc_id") != F.col("first")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ STAGES = [
     ("tokens", encode_tokens),
 ]
 
-#: Language ID, SimHash and BPE are beyond SQL.
+#: Language ID, shingle sets and BPE are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -272,3 +272,44 @@ def test_operators_import_nothing_back():
 
 def test_rows_cover_the_edges():
     assert any(r[0] is None for r in rows()) and any(r[1] is None for r in rows())
+
+
+def _shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _jaccard_groups(docs):
+    """Groups of the rows of docs by plain comparison of all pairs."""
+    sets = [_shingle_set(r["text"]) for r in docs]
+    return _groups(list(range(len(docs))), lambda a, b: sets[a] == sets[b] or bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+
+
+def test_shingles_find_all_similar_pairs(spark, odd, sample, none):
+    from hornlake.llm import shingles
+
+    rng = random.Random(3)
+    made = []
+    for i in range(120):
+        words = [f"w{(i % 10) * 1000 + k}" for k in range(rng.choice([100, 140, 200]))]
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        made.append((i, " ".join(words)))
+    for docs in (odd, sample, spark.createDataFrame(made, "doc_id long, text string")):
+        keyed = [(k, r["doc_id"], r["text"]) for k, r in enumerate(docs.collect())]
+        df = spark.createDataFrame(keyed, "key long, doc_id long, text string").repartition(3)
+        got = {r.key: r.group for r in shingles.near_duplicates(df, key_col="key").collect()}
+        want = _jaccard_groups([{"text": t} for _, _, t in keyed])
+        assert len(got) == len(want) and len({(got[k], w) for k, w in enumerate(want)}) == len(set(got.values())) == len(set(want))
+    assert shingles.near_duplicates(none).count() == 0
+
+
+def test_pipeline_drops_similar_documents(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(200)]
+    near = list(words)
+    near[50], near[120], near[160] = "other", "words", "here"  # similarity 181 / 211
+    far = [w if i % 30 else "far" for i, w in enumerate(words)]  # similarity below 0.8
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
