@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes sets chunk boundaries, so an insertion moves only the boundaries near it.
-Chunks are deduplicated by a 128-bit digest; runs of neighbouring chunks that other documents hold too make up the
-repeated passages of a document.
+A gear rolling hash over 16 bytes is least, in each window of `WINDOW` places, at a chunk boundary. So boundaries depend
+on content near them only, and a repeat of 15 + 2 * WINDOW bytes holds at least one chunk with the bytes that were hashed
+for its first boundary, whatever surrounds it. These anchors are deduplicated by a 128-bit digest; those that other
+documents hold too are extended, byte by byte, to where the repeat ends. Overlapping ones make up a repeated passage.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, slices, written
 
-#: Least and greatest bytes of a chunk, and the leading zero bits of the hash that end one.
-LEAST, MOST, ZERO_BITS = 16, 128, 4
-#: Bytes of a passage. Of a repeat up to a chunk is lost at either end, so repeats of about twice this are always found.
+#: Places of a window, and bytes hashed at each.
+WINDOW, HASHED = 48, 16
+#: Least and greatest bytes of a chunk.
+LEAST, MOST = 1, WINDOW
+#: Bytes of a passage. Repeats of 15 + 2 * WINDOW = 111 bytes are found for certain, shorter ones mostly.
 MIN_PASSAGE = 120
 #: Null ids come after all others.
 LAST_ID = (1 << 63) - 1
@@ -37,64 +40,123 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def boundaries(data: bytes) -> list[int]:
-    """Ends of the chunks of data."""
+    """Ends of the chunks of data: after the least hash of each window, the last one among equals."""
     n = len(data)
-    if n <= LEAST:
+    if n <= WINDOW:
         return [n] if n else []
-    ends, start = [], 0
-    for cut in (np.nonzero(gear_hashes(np.frombuffer(data, np.uint8)) >> np.uint32(32 - ZERO_BITS) == 0)[0] + 1).tolist():
-        while cut - start > MOST:
-            start += MOST
-            ends.append(start)
-        if cut - start >= LEAST:
-            ends.append(cut)
-            start = cut
-    while n - start > MOST:
-        start += MOST
-        ends.append(start)
-    if start < n:
-        ends.append(n)
-    return ends
-
-
-def _chunks(places: bool):
+    least = gear_hashes(np.frombuffer(data, np.uint8)).astype(np.uint64) << np.uint64(32) | np.arange(n, 0, -1, dtype=np.uint64)
+    for step in (1, 2, 4, 8, 16, WINDOW - 32):  # windows of 2, 4, 8, 16, 32 and WINDOW places
+        least = np.minimum(least[:-step], least[step:])
+    ends = (n - np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1)[::-1].tolist()
+    return ends if ends[-1] == n else [*ends, n]
+
+
+def _anchors(places: bool):
+    """Digest of each chunk of a text with the HASHED bytes before it; with places also where that is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part in slices(batches):
-            ids, digests, starts, stops = [], [], [], []
-            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+            at, digests, starts, stops = [], [], [], []
+            for i, text in enumerate(part["text"].to_pylist()):
                 ends = boundaries(text)
-                begins = [0, *ends[:-1]] if ends else []
+                begins = [max(0, x - HASHED) for x in (0, *ends[:-1])] if ends else []
                 own = [digest(text[a:b]) for a, b in zip(begins, ends, strict=True)]
                 if not places:
                     own = list(set(own))
                 digests += own
-                ids += [doc_id] * len(own)
+                at += [i] * len(own)
                 starts += begins
                 stops += ends
-            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary())]
+            columns = [part["doc_id"].take(pa.array(at, pa.int32())), pa.array(digests, pa.binary())]
             if places:
-                columns += [pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "start", "stop"][: len(columns)])
+                columns += [part["body"].take(pa.array(at, pa.int32())), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "body", "start", "stop"][: len(columns)])
 
     return run
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each place with the bytes that follow it or, in reverse, those before it."""
+    names = ["doc_id", "digest", "ahead", "start", "stop", "first", "near"]
+    kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    for part in slices(batches, 50):
+        out = []
+        for doc_id, text, places in zip(*(part[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+            for p in places:
+                start, stop = p["start"], p["stop"]
+                near = text[stop : stop + WINDOW] if p["ahead"] else text[max(0, start - WINDOW) : start][::-1]
+                out.append((doc_id, p["digest"], p["ahead"], start, stop, p["first"], near))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places as far as another document goes on alike. Rows come by digest, ahead, near and doc_id.
+
+    In this order the nearest rows of other documents, before and after, share most with a row.
+    """
+    before, run, out = None, [], []  # the last row of the document before, and the rows of the one at hand
+
+    def close(after: tuple | None) -> None:
+        for row in run:
+            more = max((_common(row[3], x[3]) for x in (before, after) if x is not None and x[:2] == row[:2]), default=0)
+            if more:
+                out.append((row[2], row[4] - (0 if row[1] else more), row[5] + (more if row[1] else 0), row[6]))
+
+    def batch_of() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        made = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "stop", "first"])
+        out.clear()
+        return made
+
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("digest", "ahead", "doc_id", "near", "start", "stop", "first")), strict=True):
+            if run and row[:3] != run[-1][:3]:
+                close(row)
+                before, run = run[-1], []
+            run.append(row)
+        if out:
+            yield batch_of()
+    close(None)
+    if out:
+        yield batch_of()
+
+
 def repeated_passages(docs: DataFrame, *, id_col="doc_id", text_col="text", min_passage=MIN_PASSAGE) -> DataFrame:
-    """doc_id, start, stop (bytes of the text), first_doc_id of each passage that another document holds as well.
+    """doc_id, start, stop (bytes of the text), first_doc_id of each passage that other documents hold as well.
 
-    first_doc_id is the smallest id that holds a chunk of the passage. Null and empty texts have no passage. Repeats
-    within a document are none. Rows that share an id count as one document, whose passages are joined where they meet; null ids
-    count as one document after all others. Empty table: no rows. Other columns are not read.
+    Every repeat of min_passage bytes, 111 at least, lies whole in a passage. What several documents hold of it is joined
+    where it overlaps. first_doc_id is the smallest id that holds an anchor of the passage. Null and empty texts have no
+    passage. Repeats within a document are none. Rows that share an id count as one document, whose passages are joined
+    where they meet; null ids count as one document after all others. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
-    held = rows.mapInArrow(_chunks(False), "doc_id long, digest binary").groupBy("digest")
+    rows = rows.withColumn("body", F.xxhash64("text"))
+    held = rows.mapInArrow(_anchors(False), "doc_id long, digest binary").groupBy("digest")
     shared = held.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     shared = written(shared, "chunk-shared")
-    placed = rows.mapInArrow(_chunks(True), "doc_id long, digest binary, start int, stop int").join(shared, "digest")
-    along = Window.partitionBy("doc_id").orderBy("start", "stop")  # the chunks of one document
+    placed = rows.mapInArrow(_anchors(True), "doc_id long, digest binary, body long, start int, stop int").join(shared, "digest")
+    inside = Window.partitionBy("doc_id", "body").orderBy("start", "stop")  # the anchors of one text
+    gap = lambda c, d: F.coalesce(c > d, F.lit(True))
+    open_ = placed.withColumn("back", gap(F.col("start"), F.lag("stop").over(inside))).withColumn("ahead", gap(F.lead("start").over(inside), F.col("stop")))
+    placed = written(open_, "chunk-placed")
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("ahead"), F.lit(True)), F.when(F.col("back"), F.lit(False))))).alias("ahead")
+    ends = placed.select("digest", sides).distinct()
+    place = F.struct("digest", "ahead", "start", "stop", "first")
+    wanted = placed.drop("ahead", "back").join(ends, "digest").groupBy("doc_id", "body").agg(F.collect_set(place).alias("places"))
+    kind = "doc_id long, digest binary, ahead boolean, start int, stop int, first long, near binary"
+    near = rows.join(wanted, ["doc_id", "body"]).select("doc_id", "text", "places").mapInArrow(_surroundings, kind)
+    near = near.repartition("digest", "ahead").sortWithinPartitions("digest", "ahead", "near", "doc_id")
+    spans = placed.select("doc_id", "start", "stop", "first").unionByName(near.mapInArrow(_extended, "doc_id long, start int, stop int, first long"))
+    along = Window.partitionBy("doc_id").orderBy("start", "stop")  # the spans of one document
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    marked = placed.withColumn("new", F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1))
+    marked = spans.withColumn("new", F.when(F.max("stop").over(before) >= F.col("start"), 0).otherwise(1))
     runs = marked.withColumn("run", F.sum("new").over(along)).groupBy("doc_id", "run")
     found = runs.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id")).where(F.col("stop") - F.col("start") >= min_passage)
     plain = lambda c: F.when(F.col(c) != LAST_ID, F.col(c)).alias(c)

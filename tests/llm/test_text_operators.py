@@ -250,3 +250,28 @@ def test_bpe_long_words():
     own = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
     for word in ("a", "ab" * 3000, "strasse" * 400 + "é" * 50, "x" * 5000, "aaabdaaabac" * 100):
         assert codec.encode_long(word.encode()) == own.encode_ordinary(word)
+
+
+def test_passages_reach_the_ends_of_every_repeat(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 5)))
+    docs, planted = [], []
+    for k in range(150):  # passages of 120 bytes; upper case around them, so that nothing goes on alike
+        passage = ("row row row your boat " * 6 if k == 0 else "lorem " * 30 if k == 1 else " ".join(word() for _ in range(60)))[:120].strip()
+        passage += "z" * (120 - len(passage))
+        for i in (2 * k, 2 * k + 1):
+            before, after = ("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (20 + rng.randrange(300), 300))
+            before, after = before + "!?"[i % 2], "!?"[i % 2] + after
+            planted.append((i, len(before), len(before) + 120, 2 * k))
+            docs.append((i, before + passage + after))
+    got = chunks.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == planted
+
+
+def test_boundaries_of_periodic_text_do_not_follow_the_start():
+    for unit in (b"lorem ", b"row row row your boat ", b"a"):
+        text = unit * 200
+        cut = lambda t: {t[max(0, a - 16) : b] for a, b in zip([0, *chunks.boundaries(t)], chunks.boundaries(t), strict=False)}
+        assert all(cut(b"Q" * n + text) & cut(b"P" * 3 + text) for n in range(1, 130))
