@@ -4,7 +4,7 @@ Vectors are scaled to length 1 and cut in halves; a codebook for each half, trai
 of cells. Each vector is filed in the cell of its nearest codewords and asks the cells around it in the order of a
 multi-sequence traversal: by the sum of its distance bounds to the half cells, nearest first. At a target recall of 1
 it goes on while that bound leaves room for a link, so no link is missed; for a lower target the stop is calibrated
-on the links of a fixed number of queries with all vectors. Candidates are verified in double precision inside their cell, which adds up links and emits
+on a fixed number of queries over the cells, each against all vectors, such that every one of them reaches the target. Candidates are verified in double precision inside their cell, which adds up links and emits
 the edges of a spanning forest only. Cells over `BLOCK` vectors are dealt to several tasks.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -27,9 +27,9 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.999
 #: Vectors that the codebooks are fitted on.
 SAMPLE = 8000
-#: Vectors whose links with all others calibrate the stop, and the links that this takes at least.
-QUERIES = 512
-LEAST_LINKS = 100
+#: Vectors whose links with all others calibrate the stop, and how many of them must have links.
+QUERIES = 4096
+LEAST_LINKED = 100
 #: Steps in which bounds are counted, and the least stop, as a share of the greatest.
 STEPS = 2000
 LEAST_SHARE = 0.01
@@ -115,12 +115,12 @@ def fit(sample: np.ndarray, total: int, threshold: float = THRESHOLD) -> Grid:
 
 
 def _needs(shared, threshold: float):
-    """(step, n): how many links of the queries need a stop of that step, counted over all vectors."""
+    """(query, step, n): how many links of the query need a stop of that step, counted over all vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, nodes, queries = shared.value
         low = grid.bounds(queries)[1]
-        counts = np.zeros(STEPS + 1, np.int64)
+        counts = np.zeros(len(queries) * (STEPS + 1), np.int32)
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
@@ -128,23 +128,35 @@ def _needs(shared, threshold: float):
                 q, x = np.nonzero((queries @ rows.T >= threshold) & (nodes[:, None] != part["node"].to_numpy(zero_copy_only=False)[None, :]))
                 cells = grid.bounds(rows)[0]
                 bound = low[0][q, cells[0][x]] + low[1][q, cells[1][x]]
-                counts += np.bincount(np.minimum(np.ceil(bound / grid.limit * STEPS).astype(int), STEPS), minlength=STEPS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS + 1)), pa.array(counts)], ["step", "n"])
+                np.add.at(counts, q * (STEPS + 1) + np.minimum(np.ceil(bound / grid.limit * STEPS).astype(int), STEPS), 1)
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at // (STEPS + 1)), pa.array(at % (STEPS + 1)), pa.array(counts[at].astype(np.int64))], ["query", "step", "n"])
 
     return run
 
 
-def _calibrated(grid: Grid, distinct: DataFrame, threshold: float, target_recall: float) -> Grid:
-    """grid with the least stop at which the queries find target_recall of their links; as it is if they have few."""
-    picked = distinct.orderBy(F.xxhash64("data")).limit(QUERIES).select("node", "data").toArrow()
-    shared = distinct.sparkSession.sparkContext.broadcast((grid, picked["node"].to_numpy(), _unit(_rows(picked["data"].combine_chunks()))))
-    found = distinct.select("node", "data").mapInArrow(_needs(shared, threshold), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(STEPS + 1, np.int64)
-    for row in found:
-        counts[row["step"]] = row["n"]
-    if counts.sum() >= LEAST_LINKS:
-        step = int(np.searchsorted(np.cumsum(counts), target_recall * counts.sum()))
-        grid.limit *= max(LEAST_SHARE, step / STEPS)
+def _queries(grid: Grid, rows: np.ndarray) -> np.ndarray:
+    """Places of the rows to calibrate on: one of each cell, then a second and so on, so that no dense group crowds out others."""
+    first, second = grid.bounds(rows)[0]
+    taken: dict[tuple[int, int], int] = {}
+    turn = np.zeros(len(rows), np.int64)
+    for i, cell in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
+        turn[i] = taken[cell] = taken.get(cell, 0) + 1
+    return np.argsort(turn, kind="stable")[:QUERIES]
+
+
+def _calibrated(grid: Grid, distinct: DataFrame, nodes: np.ndarray, sample: np.ndarray, threshold: float, target_recall: float) -> Grid:
+    """grid with the least stop at which each query finds target_recall of its own links; as it is if few queries have any."""
+    rows = _unit(sample)
+    picked = _queries(grid, rows)
+    shared = distinct.sparkSession.sparkContext.broadcast((grid, nodes[picked], rows[picked]))
+    needs = distinct.select("node", "data").mapInArrow(_needs(shared, threshold), "query long, step long, n long").groupBy("query", "step").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("query").orderBy("step")
+    share = needs.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy("query")))
+    stops = share.where(F.col("upto") >= F.lit(target_recall) * F.col("all")).groupBy("query").agg(F.min("step").alias("step"))
+    found = stops.agg(F.count("*").alias("linked"), F.max("step").alias("step")).first()
+    if found["linked"] >= LEAST_LINKED:
+        grid.limit *= max(LEAST_SHARE, found["step"] / STEPS)
     return grid
 
 
@@ -305,10 +317,11 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     distinct = written(groups.withColumn("node", F.monotonically_increasing_id()), "embed-distinct")
     total = distinct.count()
     if total:
-        sample = _rows(distinct.orderBy(F.xxhash64("data")).limit(SAMPLE).select("data").toArrow()["data"].combine_chunks())
+        taken = distinct.orderBy(F.xxhash64("data")).limit(SAMPLE).select("node", "data").toArrow()
+        sample = _rows(taken["data"].combine_chunks())
         grid = fit(sample, total, threshold)
         if target_recall < 1:
-            grid = _calibrated(grid, distinct, threshold, target_recall)
+            grid = _calibrated(grid, distinct, taken["node"].to_numpy(), sample, threshold, target_recall)
         shared = spark.sparkContext.broadcast(grid)
         placed = written(distinct.select("node", "copies", "data").mapInArrow(_placed(shared), "c1 int, c2 int, home boolean, node long, copies long, data binary"), "embed-cells")
         found = _dealt(placed, block).mapInArrow(_verify(shared, threshold, target_recall >= 1), "src long, dst long, n long")

@@ -313,3 +313,17 @@ def test_pipeline_drops_similar_documents(spark):
     far = [w if i % 30 else "far" for i, w in enumerate(words)]  # similarity below 0.8
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == [1, 3]
+
+
+def test_embedding_recall_beside_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(embed, "PER_CELL", 8)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    beside = lambda x, cos: cos * x + math.sqrt(1 - cos * cos) * unit((lambda y: y - (y * x).sum(axis=-1, keepdims=True) * x)(rng.normal(size=x.shape)))
+    one = unit(rng.normal(size=(1000, 64)))
+    hot = beside(np.repeat(unit(rng.normal(size=(1, 64))), 1000, axis=0), math.sqrt(0.999))
+    data = np.concatenate([one, beside(one, 0.91), hot])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(data.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r.n_links for r in embed.near_duplicates(df).collect()}
+    want = (unit(data) @ unit(data).T >= 0.9).sum(axis=1) - 1
+    assert np.mean([min(1.0, got[i] / n) for i, n in enumerate(want) if n and i < 2000]) >= 0.995
