@@ -1,9 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily into
-the longest matches with each automaton; the language that needs the fewest phrases per character wins. Automata are
-dense transition tables over a small alphabet, and a worker parses all texts of a batch together, a character of each
-at a time; long texts are parsed whole, in windows that run side by side.
+the longest matches with each automaton; the language that needs the fewest phrases per character wins. Automata know
+every character of the samples and hold existing transitions only, in rows displaced into each other's gaps. A worker
+parses all texts of a batch together, a character of each at a time; long texts are parsed whole, in windows that run
+side by side.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bounds of the training sample: documents a language, characters of each, and languages (the most frequent).
-SAMPLE_DOCS = 80
-SAMPLE_CHARS = 300
-MAX_LANGS = 32
-#: Characters with a class of their own; all others share one.
-ALPHABET = 64
+#: Bounds of the training sample: documents a language, characters of each, and characters of all languages. Beyond the
+#: last, each language has fewer documents, one at least.
+SAMPLE_DOCS = 100
+SAMPLE_CHARS = 400
+SAMPLE_TOTAL = 32 * SAMPLE_DOCS * SAMPLE_CHARS
 #: Characters of a window. A parse starts anew in each, which costs every language a phrase at most.
 WINDOW = 512
 #: Texts parsed together.
@@ -42,8 +42,54 @@ def _fold(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width) of the suffix automaton of codes; state 0 is the root, -1 stands for none."""
+@dataclass
+class Automaton:
+    """Transitions of states (0 is the root): that of state s by c is to[base[s] + c] if check[base[s] + c] is s."""
+
+    base: np.ndarray
+    to: np.ndarray
+    check: np.ndarray
+
+    def __getitem__(self, place: tuple[int, int]) -> int:
+        """The state that a state reaches by a code; -1 for none."""
+        at = int(self.base[place[0]]) + place[1]
+        return int(self.to[at]) if self.check[at] == place[0] else -1
+
+
+def _displaced(follow: list[dict[int, int]], width: int) -> Automaton:
+    """follow as an automaton: states of many transitions are laid out first, those of one fill the gaps."""
+    base = np.zeros(len(follow), np.int32)
+    used, hint = bytearray(2 * width), width  # no base is negative
+    order = sorted((s for s in range(len(follow)) if follow[s]), key=lambda s: -len(follow[s]))
+    single = next((i for i, s in enumerate(order) if len(follow[s]) == 1), len(order))
+    for i, state in enumerate(order):
+        if i == single:
+            hint = width
+        keys = sorted(follow[state])
+        while True:
+            if len(used) < hint + width:
+                used.extend(bytes(len(used) + width))
+            hint = used.index(0, hint)
+            if len(used) < hint + width:
+                continue
+            start = hint - keys[0]
+            if not any(used[start + k] for k in keys[1:]):
+                break
+            hint += 1
+        base[state] = start
+        for k in keys:
+            used[start + k] = 1
+    size = int(base.max(initial=0)) + width
+    to, check = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    for state in order:
+        start = int(base[state])
+        for c, reached in follow[state].items():
+            to[start + c], check[start + c] = reached, state
+    return Automaton(base, to, check)
+
+
+def automaton(codes: list[int], width: int) -> Automaton:
+    """The suffix automaton of codes below width."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -69,20 +115,16 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(follow), width), -1, np.int32)
-    for state, out in enumerate(follow):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+    return _displaced(follow, width)
 
 
 @dataclass
 class Model:
-    """Languages, the class of each code point below len(classes), and the automata one below the other."""
+    """Languages, the class of each code point below len(classes), and the automata one behind the other."""
 
     langs: list[str]
-    classes: np.ndarray
-    table: np.ndarray  # states of all languages x classes; entries are rows of the table, -1 for none
+    classes: np.ndarray  # the last is that of all code points beyond
+    table: Automaton
     roots: np.ndarray
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,23 +143,22 @@ class Model:
         order = np.argsort(-span, kind="stable")  # windows that end drop off the tail
         first, span, owner = first[order], span[order], owner[order]
         live = np.searchsorted(-span, -np.arange(WINDOW), side="left")  # windows longer than i
-        width = self.table.shape[1]
-        flat = self.table.reshape(-1)
+        base, reached, check = self.table.base, self.table.to, self.table.check
         for k, root in enumerate(self.roots.tolist()):
             state = np.full(len(first), root, np.int64)
             count = np.zeros(len(first), np.int64)
-            start = flat[root * width : (root + 1) * width]
             for i in range(WINDOW):
                 n = int(live[i])
                 if not n:
                     break
                 c = codes[first[:n] + i]
-                to = flat[state[:n] * width + c]
-                broken = to < 0
+                at = base[state[:n]] + c
+                to = reached[at]
+                broken = check[at] != state[:n]
                 if broken.any():
                     count[:n] += broken
-                    again = start[c[broken]]
-                    to[broken] = np.where(again < 0, root, again)
+                    again = base[root] + c[broken]
+                    to[broken] = np.where(check[again] == root, reached[again], root)
                 state[:n] = to
             np.add.at(found[:, k], owner, count + (state != root))
         return found, sizes
@@ -142,36 +183,39 @@ def build(samples: dict[str, list[str]]) -> Model:
     """A model of {language: texts}, languages in order of name."""
     langs = sorted(samples)
     folded = {x: [_fold(t) for t in samples[x]] for x in langs}
-    common = [c for c, _ in sorted(Counter("".join("".join(t) for t in folded.values())).items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2]]
-    classes = np.full(0x3000, ALPHABET - 2, np.uint8)  # class of characters that no sample has often
-    for i, c in enumerate(common):
-        if ord(c) < len(classes) - 1:
-            classes[ord(c)] = i
-    tables, roots, at = [], [], 0
+    counts = Counter("".join("".join(t) for t in folded.values()))
+    known = sorted(counts, key=lambda c: (-counts[c], c))
+    # Class len(known) is of characters that no sample has, the next parts the texts of a sample; no text to parse has it.
+    classes = np.full(max(map(ord, known), default=-1) + 2, len(known), np.int32)
+    for i, c in enumerate(known):
+        classes[ord(c)] = i
+    width = len(known) + 2
+    parts, roots, states, slots = [], [], 0, 0
     for x in langs:
-        # Class ALPHABET - 1 parts the texts of a sample; no text to parse has it.
-        codes = [k for t in folded[x] for k in [*(int(classes[min(ord(c), len(classes) - 1)]) for c in t), ALPHABET - 1]]
-        own = automaton(codes, ALPHABET)
-        tables.append(np.where(own < 0, own, own + at))
-        roots.append(at)
-        at += len(own)
-    return Model(langs, classes, np.concatenate(tables) if tables else np.zeros((0, ALPHABET), np.int32), np.array(roots, np.int64))
+        own = automaton([k for t in folded[x] for k in [*(int(classes[ord(c)]) for c in t), width - 1]], width)
+        parts.append((own.base + slots, np.where(own.to < 0, -1, own.to + states), np.where(own.check < 0, -1, own.check + states)))
+        roots.append(states)
+        states += len(own.base)
+        slots += len(own.to)
+    table = Automaton(*(np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(np.int32) for i in range(3)))
+    return Model(langs, classes, table, np.array(roots, np.int64))
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """A model of the labelled rows outside the held-out fold.
 
-    Of each of the MAX_LANGS most frequent languages it takes the SAMPLE_DOCS rows of least id hash, and of each row
-    SAMPLE_CHARS characters from the middle of its text. This bounds what the driver and the workers hold.
+    Of each language it takes the SAMPLE_DOCS rows of least id hash, fewer if there are over 32 languages, and of each
+    row SAMPLE_CHARS characters from the middle of its text. This bounds what the driver and the workers hold.
     """
     text = F.col(text_col)
     middle = F.greatest(F.lit(1), ((F.length(text) - SAMPLE_CHARS) / 2).cast("int"))
     rows = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(F.col(id_col))).select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.substr(text, middle, F.lit(SAMPLE_CHARS)).alias("text")
     )
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    langs = rows.select("lang").distinct().count()
+    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // (SAMPLE_CHARS * max(1, langs))))
     least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # a rank limit, applied before the shuffle too
-    picked = rows.join(F.broadcast(langs), "lang").withColumn("place", least).where(F.col("place") <= SAMPLE_DOCS)
+    picked = rows.withColumn("place", least).where(F.col("place") <= most)
     samples: dict[str, list[str]] = {}
     for lang, text in sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect()):
         samples.setdefault(lang, []).append(text)

@@ -275,3 +275,16 @@ def test_boundaries_of_periodic_text_do_not_follow_the_start():
         text = unit * 200
         cut = lambda t: {t[max(0, a - 16) : b] for a, b in zip([0, *chunks.boundaries(t)], chunks.boundaries(t), strict=False)}
         assert all(cut(b"Q" * n + text) & cut(b"P" * 3 + text) for n in range(1, 130))
+
+
+def test_languages_of_large_and_many_alphabets(spark):
+    import random
+
+    rng = random.Random(2)
+    scripts = {f"l{k:02d}": [chr(0x4E00 + 400 * k + i) for i in range(400)] for k in range(40)}  # 16,000 characters, no blanks
+    text = lambda lang: "".join(rng.choice(scripts[lang]) for _ in range(300))
+    docs = spark.createDataFrame([(i, text(f"l{i % 40:02d}"), f"l{i % 40:02d}") for i in range(1200)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(scripts)
+    want = sorted(scripts) * 3
+    assert [p[0] for p in model.predict([text(x) for x in want])] == want
