@@ -30,11 +30,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by Jaccard similarity >= 0.8 of five-word shingles, that with the smallest doc_id."""
-    found = written(shingles.near_duplicates(docs), "pipeline-groups")
-    first = found.groupBy("group").agg(F.min("doc_id").alias("first"))
-    gone = found.join(first, "group").where(F.col("doc_id") != F.col("first")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked by Jaccard similarity >= 0.8 of five-word shingles.
+
+    That is the row of the smallest doc_id, null ids last; of rows that repeat this id, one.
+    """
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = written(shingles.near_duplicates(keyed, key_col="__row"), "pipeline-groups")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    first = found.groupBy("group").agg(least.alias("first")).select("group", F.col("first.key").alias("stays"))
+    gone = found.join(first, "group").where(F.col("key") != F.col("stays")).select(F.col("key").alias("__row"))
+    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

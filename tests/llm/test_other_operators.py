@@ -327,3 +327,12 @@ def test_embedding_recall_beside_a_hot_group(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embed.near_duplicates(df).collect()}
     want = (unit(data) @ unit(data).T >= 0.9).sum(axis=1) - 1
     assert np.mean([min(1.0, got[i] / n) for i, n in enumerate(want) if n and i < 2000]) >= 0.995
+
+
+def test_pipeline_keeps_one_row_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = spark.createDataFrame([(1, one), (1, one), (2, one), (None, one), (None, two), (None, two), (3, two), (None, three), (None, three)], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, one), (3, two), (None, three)], key=str)
