@@ -14,7 +14,7 @@ from .operators.infer import infer, new_facts
 from .plans import prune
 from .plans.metrics import candidates, functionality, head_counts, relation_frequency, rule_metrics
 from .plans.mine import mine
-from .plans.paths import body_supports, one_path, paths
+from .plans.paths import Graph, body_supports, one_path, paths
 from .schema import CASE_DDL, InferenceConfig, MiningConfig
 from .sources.graph import CHAINS, ORDERS, load_edges, load_nodes, project, table
 
@@ -48,7 +48,7 @@ def _body(n: int, which: str = "a", **options):
 
 def _cands(spark, sf_dir, n: int, which: str = "a") -> DataFrame:
     edges = _graph(spark, sf_dir, which)
-    return candidates(paths(edges, n).persist(), edges, heads_per_body=50 if n > 3 else None)
+    return candidates(paths(edges, n).hold(), heads_per_body=50 if n > 3 else None)
 
 
 def _cand(n: int, which: str = "a"):
@@ -171,9 +171,9 @@ def _refresh(spark, sf_dir):
 
 
 def _incremental_merge(spark, sf_dir):
-    edges = _graph(spark, sf_dir)
-    fresh, _ = refreshed(edges, _known_rules(spark), list(CHANGED), 2)
-    return merge(fresh, mine(edges, MiningConfig(**LOOSE, changed_relations=CHANGED))).select("rule_id", "support", "pca_confidence", "status")
+    graph = Graph.of(_graph(spark, sf_dir))
+    fresh, _ = refreshed(graph, _known_rules(spark), list(CHANGED), 2)
+    return merge(fresh, mine(graph, MiningConfig(**LOOSE, changed_relations=CHANGED))).select("rule_id", "support", "pca_confidence", "status")
 
 
 def _snapshot_diff(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 
 def _key_part(value: Column, fallback: str) -> Column:
     return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(fallback))
@@ -24,18 +26,31 @@ def append(log: DataFrame, changes: DataFrame, last_seq: int = 0) -> DataFrame:
     fresh = keyed(changes).withColumn("change_seq", F.lit(last_seq) + 1 + F.col("position").cast("long"))
     first = Window.partitionBy("dedup_key").orderBy("change_seq")
     fresh = fresh.withColumn("place", F.row_number().over(first)).where("place = 1")
-    kept = fresh.join(log.select("dedup_key"), "dedup_key", "left_anti")
+    # What the log has of the request's keys: a small request is broadcast, and the log is not shuffled.
+    known = log.select("dedup_key").join(fresh.select("dedup_key"), "dedup_key", "left_semi")
+    kept = fresh.join(known, "dedup_key", "left_anti")
     names = ("change_seq", "event_type", "src", "rel", "dst", "source", "batch_id", "idempotency_key", "metadata", "dedup_key", "created_at")
     return kept.select(*names)
 
 
+def numbered(rows: DataFrame, start: int, *order: str) -> DataFrame:
+    """rows with change_seq start + 1, start + 2, ... in order, without a task that sees them all.
+
+    Rows are dealt by range and written; the sizes of the ranges, a row for each, say where a range's numbers begin.
+    """
+    dealt = materialise(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("size"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "range").withColumn("change_seq", F.lit(start) + F.col("before") + place).drop("range", "before")  # starts: a row a range
+
+
 def sequenced(log: DataFrame, last_seq: int = 0) -> DataFrame:
-    """log with numbers after the last one given out for entries that have none, by time; those are few, from triggers."""
-    last = log.agg(F.greatest(F.coalesce(F.max("change_seq"), F.lit(0)), F.lit(last_seq)).alias("last"))
+    """log with numbers after the last one given out for entries that have none, by time."""
     missing = log.where(F.col("change_seq").isNull())
-    order = Window.orderBy("created_at", "dedup_key")
-    numbered = missing.crossJoin(F.broadcast(last)).withColumn("change_seq", F.col("last") + F.row_number().over(order)).drop("last")  # last: a single row
-    return log.where(F.col("change_seq").isNotNull()).unionByName(numbered.select(*log.columns))
+    last = max(last_seq, log.agg(F.max("change_seq")).first()[0] or 0)
+    return log.where(F.col("change_seq").isNotNull()).unionByName(numbered(missing, last, "created_at", "dedup_key").select(*log.columns))
 
 
 def pending(log: DataFrame, cursor: int, limit: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +49,15 @@ def meetings(walks: DataFrame, facts: DataFrame, head: str, relations) -> DataFr
     return walks.join(heads, ["x", "y"], "left_anti").join(against, ["x", "y"])
 
 
+def against_pairs(relations: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+    """(x, y, conflicting_relation): distinct ends of each relation's edges."""
+    found = None
+    for rel, edges in relations:
+        own = edges.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(rel).alias("conflicting_relation")).distinct()
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def record(cases: DataFrame, met: DataFrame, rule_id: str, head: str, iteration: int, now) -> DataFrame:
     """cases with those met; a known case counts again only in another iteration than its last."""
     key = ["rule_id", "inferred_relation", "conflicting_relation", "source_x", "source_y"]
@@ -65,5 +74,6 @@ def record(cases: DataFrame, met: DataFrame, rule_id: str, head: str, iteration:
     )
 
 
-def latest(cases: DataFrame, limit: int = 100) -> DataFrame:
-    return cases.orderBy(F.desc("updated_at"), F.desc("detect_count"), "rule_id", "source_x", "source_y").limit(limit)
+def latest(cases: DataFrame, limit: int = 100, rule_id: str | None = None) -> DataFrame:
+    """The limit cases met last, of one rule or of all."""
+    return (cases if rule_id is None else cases.where(F.col("rule_id") == rule_id)).orderBy(F.desc("updated_at"), F.desc("detect_count"), "rule_id", "source_x", "source_y").limit(limit)

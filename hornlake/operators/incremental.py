@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.names import rule_text
 from ..plans.metrics import ratio, score_rules
 from ..plans.mine import first_by_id, mine
-from ..plans.paths import paths
+from ..plans.paths import Graph, paths
 from ..schema import STAT_DDL, MiningConfig
+from ..sources.store import materialise
 from .changelog import delta, pending
 from .rules import by_relations, upsert
 
@@ -28,11 +29,14 @@ class IncrementalRun:
     affected: list[str]
 
 
-def refreshed(edges: DataFrame, rules: DataFrame, relations: list[str], n: int, factual_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rules, stats) with metrics of today for the known rules of n body relations that involve one of relations."""
+def refreshed(edges: DataFrame | Graph, rules: DataFrame, relations: list[str], n: int, factual_only: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rules, stats) with metrics of today for the known rules of n body relations that involve one of relations.
+
+    Only walks along the bodies of these rules are made, cut to their prefixes at each hop.
+    """
     known = by_relations(rules, relations).where(F.size("body_relations") == n)
     wanted = known.select(F.col("body_relations").alias("body"), F.col("head_relation").alias("head"))
-    scored = score_rules(wanted, edges, paths(edges, n, factual_only=factual_only), factual_only)
+    scored = score_rules(wanted, paths(edges, n, factual_only=factual_only, bodies=wanted.select("body").distinct()))
     joined = known.select("rule_id", F.col("body_relations").alias("body"), F.col("head_relation").alias("head"), "status", "version").join(scored, ["body", "head"])
     fresh = joined.select(
         "rule_id", F.col("body").alias("body_relations"), F.col("head").alias("head_relation"), "support", ratio(F.col("support"), F.col("pca_denominator")).alias("pca_confidence"),
@@ -52,8 +56,8 @@ def run_incremental(edges: DataFrame, rules: DataFrame, log: DataFrame, cursor:
 
     A window that folds to nothing still moves the cursor, unless legacy_cursor.
     """
-    window = pending(log, cursor, change_limit).persist()
-    net = delta(window).persist()
+    window = materialise(pending(log, cursor, change_limit), "window")
+    net = delta(window)
     processed = net.count()
     last = window.agg(F.max("change_seq")).first()[0]
     last = cursor if last is None else last
@@ -61,7 +65,10 @@ def run_incremental(edges: DataFrame, rules: DataFrame, log: DataFrame, cursor:
     if not affected:
         empty = rules.limit(0)
         return IncrementalRun(empty, rules, rules.sparkSession.createDataFrame([], STAT_DDL), 0, cursor if legacy_cursor else last, [])
-    fresh, stats = refreshed(edges, rules, affected, config.body_length, config.factual_only)
-    discovered = mine(edges, replace(config, changed_relations=tuple(affected)))
-    mined = merge(fresh, discovered).persist()
+    graph = Graph.of(edges, config.factual_only)
+    fresh, stats = refreshed(graph, rules, affected, config.body_length)
+    fresh, stats = materialise(fresh, "refreshed"), materialise(stats, "stats")
+    discovered = mine(graph, replace(config, changed_relations=tuple(affected)))
+    graph.release()
+    mined = materialise(merge(fresh, discovered), "merged")
     return IncrementalRun(mined, upsert(rules, mined), stats, processed, last, affected)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What may follow a status.
-TRANSITIONS = {"discovered": ("adopted", "rejected"), "adopted": ("rejected",), "applied": (), "rejected": ()}
+TRANSITIONS = {"discovered": ("adopted", "rejected"), "adopted": ("rejected", "applied"), "applied": (), "rejected": ()}
 #: Statuses whose rules get a new version when they are mined again.
 VERSIONED = ("adopted", "applied", "rejected")
 
@@ -71,5 +71,5 @@ def transition(rules: DataFrame, rule_id: str, target: str) -> DataFrame:
 def outcomes(statuses: DataFrame) -> DataFrame:
     """(status, target, allowed) for each status row and each target."""
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]).cast("array<string>"))])
-    targets = F.explode(F.array(F.lit("adopted"), F.lit("rejected"))).alias("target")
+    targets = F.explode(F.array(F.lit("adopted"), F.lit("rejected"), F.lit("applied"))).alias("target")
     return statuses.select("status", targets).withColumn("allowed", F.array_contains(allowed[F.col("status")], F.col("target")))

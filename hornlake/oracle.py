@@ -188,7 +188,7 @@ FOLD = """la AS (SELECT *, max(CASE WHEN event_type = 'added' THEN change_seq EN
   folded AS (SELECT src, rel, dst, CASE WHEN max(last_add) IS NULL THEN 'removed' WHEN count(*) FILTER (event_type = 'removed' AND change_seq > last_add) = 0 THEN 'added'
   WHEN count(*) FILTER (event_type = 'removed' AND change_seq > last_add) = 1 THEN 'cancelled' ELSE 'removed' END AS state FROM la GROUP BY src, rel, dst)"""
 RULE_COLUMNS = "rule_id, body, head_relation, support, pca_confidence, head_coverage, rule_text"
-ROUND_TRIPS = "('discovered', 'adopted', TRUE), ('discovered', 'rejected', TRUE), ('adopted', 'adopted', FALSE), ('adopted', 'rejected', TRUE), ('applied', 'adopted', FALSE), ('applied', 'rejected', FALSE), ('rejected', 'adopted', FALSE), ('rejected', 'rejected', FALSE)"
+ROUND_TRIPS = "('discovered', 'adopted', TRUE), ('discovered', 'rejected', TRUE), ('adopted', 'adopted', FALSE), ('adopted', 'rejected', TRUE), ('applied', 'adopted', FALSE), ('applied', 'rejected', FALSE), ('rejected', 'adopted', FALSE), ('rejected', 'rejected', FALSE), ('discovered', 'applied', FALSE), ('adopted', 'applied', TRUE), ('applied', 'applied', FALSE), ('rejected', 'applied', FALSE)"
 
 
 def oracle_sql() -> dict[str, str]:

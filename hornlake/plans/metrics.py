@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.graph import factual
-from .paths import one_path
+from .paths import Walks, one_path
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -30,30 +30,35 @@ def functionality(edges: DataFrame, factual_only: bool = True) -> DataFrame:
     return factual(edges, factual_only).groupBy("rel").agg(ratio(F.count_distinct("src"), F.count("*")).alias("functionality"))
 
 
-def supports(walks: DataFrame, edges: DataFrame, factual_only: bool = True) -> DataFrame:
-    """(body, head, support): distinct ends of a body that a head relation joins as well."""
-    heads = factual(edges, factual_only).select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("rel").alias("head")).distinct()
-    return walks.join(heads, ["x", "y"]).groupBy("body", "head").agg(F.count("*").alias("support"))
+def supports(walks: Walks) -> DataFrame:
+    """(code, head, support), head by number: distinct ends of a body that a head relation joins as well."""
+    heads = walks.graph.links.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("rel").alias("head"))
+    return walks.df.join(heads, ["x", "y"]).groupBy("code", "head").agg(F.count("*").alias("support"))
 
 
-def with_denominators(candidates: DataFrame, walks: DataFrame, edges: DataFrame, factual_only: bool = True) -> DataFrame:
-    """candidates with pca_denominator: ends of the body whose x has some edge of the head; all heads in one plan."""
-    starts = factual(edges, factual_only).select(F.col("src").alias("x"), F.col("rel").alias("head")).distinct()
-    wanted = candidates.select("body", "head")
-    fans = walks.join(wanted.select("body").distinct(), "body", "left_semi").groupBy("body", "x").agg(F.count("*").alias("fan"))
-    counted = fans.join(starts, "x").join(wanted, ["body", "head"], "left_semi").groupBy("body", "head").agg(F.sum("fan").alias("pca_denominator"))
-    return candidates.join(counted, ["body", "head"], "left").withColumn("pca_denominator", F.coalesce("pca_denominator", F.lit(0).cast("long")))
+def _with_denominators(found: DataFrame, walks: Walks) -> DataFrame:
+    """found (code, head) with pca_denominator: ends of the body whose x has some edge of the head; all heads in one plan."""
+    wanted = found.select("code", "head")
+    starts = walks.graph.links.select(F.col("src").alias("x"), F.col("rel").alias("head")).join(wanted.select("head").distinct(), "head", "left_semi").distinct()
+    fans = walks.df.join(wanted.select("code").distinct(), "code", "left_semi").groupBy("code", "x").agg(F.count("*").alias("fan"))
+    counted = fans.join(starts, "x").join(wanted, ["code", "head"], "left_semi").groupBy("code", "head").agg(F.sum("fan").alias("pca_denominator"))
+    return found.join(counted, ["code", "head"], "left").withColumn("pca_denominator", F.coalesce("pca_denominator", F.lit(0).cast("long")))
 
 
-def candidates(walks: DataFrame, edges: DataFrame, *, limit: int | None = None, heads_per_body: int | None = None, factual_only: bool = True) -> DataFrame:
+def _named(found: DataFrame, walks: Walks) -> DataFrame:
+    """(body, head, support, pca_denominator)."""
+    return walks.named(found).select("body", walks.codes.name(F.col("head")).alias("head"), "support", "pca_denominator")
+
+
+def candidates(walks: Walks, *, limit: int | None = None, heads_per_body: int | None = None) -> DataFrame:
     """(body, head, support, pca_denominator) of the best limit closings, each body with its best heads_per_body."""
-    found = supports(walks, edges, factual_only)
+    found = supports(walks)
     if heads_per_body is not None:
-        best = Window.partitionBy("body").orderBy(F.desc("support"), "head")
+        best = Window.partitionBy("code").orderBy(F.desc("support"), "head")
         found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= heads_per_body).drop("place")
     if limit is not None:
-        found = found.orderBy(F.desc("support"), "body", "head").limit(limit)
-    return with_denominators(found, walks, edges, factual_only)
+        found = found.orderBy(F.desc("support"), "code", "head").limit(limit)
+    return _named(_with_denominators(walks.graph.hold(found), walks), walks)
 
 
 def rule_metrics(edges: DataFrame, body: Sequence[str], head: str, factual_only: bool = True) -> DataFrame:
@@ -66,11 +71,14 @@ def rule_metrics(edges: DataFrame, body: Sequence[str], head: str, factual_only:
     return support.crossJoin(denominator).crossJoin(heads.agg(F.count("*").alias("head_count")))  # single rows
 
 
-def score_rules(rules: DataFrame, edges: DataFrame, walks: DataFrame, factual_only: bool = True) -> DataFrame:
+def score_rules(rules: DataFrame, walks: Walks) -> DataFrame:
     """rules (body, head) with support, pca_denominator and head_count, all in one plan; walks must cover the bodies."""
-    wanted = rules.select("body", "head").distinct()
-    known = supports(walks.join(wanted.select("body").distinct(), "body", "left_semi"), edges, factual_only)
-    found = wanted.join(known, ["body", "head"], "left").withColumn("support", F.coalesce("support", F.lit(0).cast("long")))
-    scored = with_denominators(found, walks, edges, factual_only)
-    counts = head_counts(edges, factual_only).withColumnRenamed("rel", "head")
-    return scored.join(counts, "head", "left").withColumn("head_count", F.coalesce("head_count", F.lit(0).cast("long")))
+    codes = walks.codes
+    asked = rules.select("body", "head").distinct()
+    wanted = asked.select(codes.code(F.col("body"), walks.n).alias("code"), codes.number(F.col("head")).alias("head")).where("code IS NOT NULL AND head IS NOT NULL")
+    known = supports(walks.only(wanted.select("code").distinct()))
+    found = wanted.join(known, ["code", "head"], "left").withColumn("support", F.coalesce("support", F.lit(0).cast("long")))
+    scored = asked.join(_named(_with_denominators(found, walks), walks), ["body", "head"], "left")
+    counts = walks.graph.head_counts().withColumnRenamed("rel", "head")
+    joined = scored.join(counts, "head", "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("support", "pca_denominator", "head_count")})

@@ -1,34 +1,150 @@
-"""Distinct end points of typed walks whose edges are pairwise different."""
+"""Distinct end points of typed walks whose edges are pairwise different.
+
+A `Graph` is made once for a snapshot: relations become numbers, parallel edges are put together, and one aggregate by
+node tells which relations can follow which. Walks are planned over these relations first: a hop reads only relations
+that some walk of the wanted length (with a wanted relation) can take there. Bodies are packed into one number.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.graph import factual
 
-RELATIONS = "body array<string>, x string, y string"
+#: Relations that a graph may have. They are kept on the driver, and a table of them is broadcast.
+MOST_RELATIONS = 1 << 18
 
 
 def touches(body: Column, relations: Sequence[str]) -> Column:
     return F.arrays_overlap(body, F.array(*[F.lit(r) for r in relations]))
 
 
+@dataclass(frozen=True)
+class Codes:
+    """Bodies of up to `longest` relations as one value: bits of a long, first relation highest, or an array of ints."""
+
+    names: tuple[str, ...]
+    longest: int
+
+    @cached_property
+    def bits(self) -> int:
+        return max(1, (len(self.names) - 1).bit_length())
+
+    @property
+    def packed(self) -> bool:
+        return self.bits * self.longest <= 62
+
+    def first(self, rel: Column) -> Column:
+        return rel.cast("long") if self.packed else F.array(rel)
+
+    def then(self, body: Column, rel: Column) -> Column:
+        return F.shiftleft(body, self.bits).bitwiseOR(rel.cast("long")) if self.packed else F.concat(body, F.array(rel))
+
+    def each(self, body: Column, n: int) -> list[Column]:
+        """The numbers of a body of n relations."""
+        if not self.packed:
+            return [F.get(body, i) for i in range(n)]
+        return [F.shiftright(body, self.bits * (n - 1 - i)).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int") for i in range(n)]
+
+    def name(self, rel: Column) -> Column:
+        return F.get(F.lit(list(self.names)) if self.names else F.array().cast("array<string>"), rel)
+
+    def body(self, code: Column, n: int) -> Column:
+        return F.array(*[self.name(r) for r in self.each(code, n)])
+
+    def number(self, name: Column) -> Column:
+        """The number of a name, null for one that no edge has."""
+        if not self.names:
+            return F.lit(None).cast("int")
+        return F.try_element_at(F.map_from_arrays(F.lit(list(self.names)), F.lit(list(range(len(self.names)))).cast("array<int>")), name)
+
+    def code(self, body: Column, n: int) -> Column:
+        """The code of an array of n names, null if no edge has one of them."""
+        numbers = [self.number(F.get(body, i)) for i in range(n)]
+        known = reduce(lambda a, b: a & b, [x.isNotNull() for x in numbers])
+        return F.when(known, reduce(self.then, numbers[1:], self.first(numbers[0])))
+
+
+@dataclass
+class Graph:
+    """links (rel as number, src, dst, n parallel edges), each once; numbered edges with their ids; follows by number."""
+
+    edges: DataFrame
+    names: tuple[str, ...]
+    links: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, edges: DataFrame | Graph, factual_only: bool = True) -> Graph:
+        """The graph of the edges that count; one that is a graph already stays as it is."""
+        if isinstance(edges, Graph):
+            return edges
+        spark = edges.sparkSession
+        kept = factual(edges, factual_only).select("eid", "src", "rel", "dst").where(F.col("rel").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
+        names = tuple(sorted(r["rel"] for r in kept.select("rel").distinct().limit(MOST_RELATIONS + 1).collect()))
+        if len(names) > MOST_RELATIONS:
+            raise ValueError(f"more than {MOST_RELATIONS} relations")
+        table = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "rel string, number int"))
+        numbered = kept.join(table, "rel").select("eid", F.col("number").alias("rel"), "src", "dst")
+        links = numbered.groupBy("rel", "src", "dst").agg(F.count("*").alias("n")).persist()
+        return cls(numbered, names, links, [links])
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.links.sparkSession
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """df, persisted until release()."""
+        self.held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
+    def name(self, rel: Column) -> Column:
+        return Codes(self.names, 1).name(rel)
+
+    def head_counts(self) -> DataFrame:
+        """(rel by name, head_count): edges, parallel ones each."""
+        return self.links.groupBy("rel").agg(F.sum("n").alias("head_count")).select(self.name(F.col("rel")).alias("rel"), "head_count")
+
+    def functionality(self) -> DataFrame:
+        """(rel by name, functionality): distinct sources by edge."""
+        by_source = self.links.groupBy("rel", "src").agg(F.sum("n").alias("n"))
+        share = by_source.groupBy("rel").agg((F.count("*").cast("double") / F.sum("n").cast("double")).alias("functionality"))
+        return share.select(self.name(F.col("rel")).alias("rel"), "functionality")
+
+    @cached_property
+    def follows(self) -> dict[int, set[int]]:
+        """Which relations start where a relation ends: one aggregate by node, whose sets few nodes differ in."""
+        out = self.links.select(F.col("src").alias("at"), F.col("rel").alias("starts"), F.lit(None).cast("int").alias("ends"))
+        into = self.links.select(F.col("dst").alias("at"), F.lit(None).cast("int").alias("starts"), F.col("rel").alias("ends"))
+        sets = out.unionByName(into).groupBy("at").agg(F.sort_array(F.collect_set("ends")).alias("ends"), F.sort_array(F.collect_set("starts")).alias("starts"))
+        kinds = sets.where((F.size("ends") > 0) & (F.size("starts") > 0)).select("ends", "starts").distinct()
+        pairs = kinds.select(F.explode("ends").alias("first"), "starts").select("first", F.explode("starts").alias("second")).distinct()
+        found: dict[int, set[int]] = {}
+        for row in pairs.groupBy("first").agg(F.collect_set("second").alias("seconds")).toLocalIterator():
+            found[row["first"]] = set(row["seconds"])
+        return found
+
+
 def joinable(edges: DataFrame) -> dict[str, set[str]]:
-    """Which relations start where a relation ends. The vocabulary of relations is small, whatever the edges."""
-    ends = edges.select(F.col("rel").alias("first"), F.col("dst").alias("at")).distinct()
-    starts = edges.select(F.col("rel").alias("second"), F.col("src").alias("at")).distinct()
-    follows: dict[str, set[str]] = {}
-    for row in ends.join(starts, "at").select("first", "second").distinct().collect():
-        follows.setdefault(row["first"], set()).add(row["second"])
-    return follows
+    """Which relations start where a relation ends, by name."""
+    graph = Graph.of(edges, factual_only=False)
+    found = {graph.names[a]: {graph.names[b] for b in bs} for a, bs in graph.follows.items()}
+    graph.release()
+    return found
 
 
-def repeating(follows: dict[str, set[str]], n: int) -> set[str]:
+def repeating(follows: dict, n: int) -> set:
     """Relations of walks of n steps over follows that hold some relation twice."""
-    found: set[str] = set()
+    found: set = set()
     reach = {r: {r: 0} for r in follows}  # least steps from r to others, by breadth
     for r, seen in reach.items():
         border, steps = {r}, 0
@@ -43,7 +159,7 @@ def repeating(follows: dict[str, set[str]], n: int) -> set[str]:
     if not found:
         return set()
     # A walk with a repeat visits, before, between or after, only relations within n steps of the repeated one.
-    back: dict[str, set[str]] = {}
+    back: dict = {}
     for a, bs in follows.items():
         for b in bs:
             back.setdefault(b, set()).add(a)
@@ -56,60 +172,145 @@ def repeating(follows: dict[str, set[str]], n: int) -> set[str]:
     return near
 
 
-def _simple(edges: DataFrame, n: int, prefixes: DataFrame | None) -> DataFrame:
+def allowed(relations: set, follows: dict, n: int, changed: set | None = None) -> list[tuple[set, set]]:
+    """For each hop (relations to take, those among them that an untouched walk may end in) of walks of n hops.
+
+    A walk must be able to go on to n hops; with changed, one of these must come, before or after.
+    """
+    forward = [set(relations)]
+    for _ in range(n - 1):
+        forward.append({b for a in forward[-1] for b in follows.get(a, ())})
+    take: list[set] = [forward[-1]]
+    for k in range(n - 2, -1, -1):
+        take.insert(0, {a for a in forward[k] if follows.get(a, set()) & take[0]})
+    if changed is None:
+        return [(rels, rels) for rels in take]
+    plans: list[tuple[set, set]] = [(take[-1], set())]
+    hope = take[-1] & changed  # relations at the hop behind from which a changed one comes, itself included
+    for k in range(n - 2, -1, -1):
+        still = {a for a in take[k] if follows.get(a, set()) & hope}
+        plans.insert(0, (take[k], still))
+        hope = still | (take[k] & changed)
+    return plans
+
+
+@dataclass
+class Walks:
+    """(code, x, y): distinct ends of the walks of n edges of a graph, by the code of their relations."""
+
+    df: DataFrame
+    graph: Graph
+    codes: Codes
+    n: int
+
+    def hold(self) -> Walks:
+        self.graph.hold(self.df)
+        return self
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """df with body for its code."""
+        return df.select(self.codes.body(F.col("code"), self.n).alias("body"), *[c for c in df.columns if c != "code"])
+
+    def ends(self) -> DataFrame:
+        """(body, x, y)."""
+        return self.named(self.df)
+
+    def only(self, bodies: DataFrame) -> Walks:
+        """Those of the bodies (code)."""
+        return Walks(self.df.join(bodies.select("code"), "code", "left_semi"), self.graph, self.codes, self.n)
+
+
+def _in(rel: Column, relations: set) -> Column:
+    return rel.isin(*sorted(relations)) if relations else F.lit(False)
+
+
+def _limits(codes: Codes, n: int, prefixes: DataFrame | None, bodies: DataFrame | None) -> dict[int, DataFrame]:
+    """By hop, the codes (code) that a walk may have there."""
+    found = {}
+    if prefixes is not None:
+        found[2] = prefixes.select(codes.code(F.col("body"), 2).alias("code")).where("code IS NOT NULL").distinct()
+    if bodies is not None:
+        for k in range(1, n + 1):
+            found[k] = bodies.where(codes.code(F.col("body"), n).isNotNull()).select(codes.code(F.slice("body", 1, k), k).alias("code")).distinct()
+    return found
+
+
+def _simple(graph: Graph, codes: Codes, n: int, plans: list[tuple[set, set]], changed: set | None, limits: dict[int, DataFrame]) -> DataFrame:
     """Walks over n different relations. No edge can come twice, so end points are made distinct after each hop."""
-    walk = edges.select(F.array("rel").alias("body"), F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
-    step = edges.select(F.col("rel").alias("next"), F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
-    for hop in range(2, n + 1):
-        joined = walk.join(step, (F.col("y") == F.col("at")) & ~F.array_contains("body", F.col("next")))
-        walk = joined.select(F.concat("body", F.array("next")).alias("body"), "x", F.col("to").alias("y")).distinct()
-        if hop == 2 and prefixes is not None:
-            walk = walk.join(prefixes.select("body"), "body", "left_semi")
+    walk = None
+    for hop, (take, still) in enumerate(plans, 1):
+        step = graph.links.where(_in(F.col("rel"), take)).select(F.col("rel").alias("next"), F.col("src").alias("at"), F.col("dst").alias("to"))
+        if walk is None:
+            walk = step.select(codes.first(F.col("next")).alias("code"), F.col("at").alias("x"), F.col("to").alias("y"))
+        else:
+            again = reduce(lambda a, b: a | b, [r == F.col("next") for r in codes.each(F.col("code"), hop - 1)])
+            joined = walk.join(step, (F.col("y") == F.col("at")) & ~again)
+            walk = joined.select(codes.then(F.col("code"), F.col("next")).alias("code"), "x", F.col("to").alias("y"))
+        if changed is not None:
+            taken = codes.each(F.col("code"), hop)
+            walk = walk.where(reduce(lambda a, b: a | b, [_in(r, changed) for r in taken]) | _in(taken[-1], still))
+        if hop > 1:
+            walk = walk.distinct()
+        if hop in limits:
+            walk = walk.join(limits[hop], "code", "left_semi")
     return walk
 
 
-def _repeated(edges: DataFrame, n: int, prefixes: DataFrame | None) -> DataFrame:
+def _repeated(graph: Graph, codes: Codes, n: int, near: set, limits: dict[int, DataFrame]) -> DataFrame:
     """Walks in which a relation comes twice; the edges taken ride along and must differ."""
     take = lambda rel, eid: F.struct(rel.alias("rel"), eid.alias("eid"))
-    walk = edges.select(F.array("rel").alias("body"), F.array(take(F.col("rel"), F.col("eid"))).alias("taken"), F.col("src").alias("x"), F.col("dst").alias("y"))
+    edges = graph.edges.where(_in(F.col("rel"), near))
+    walk = edges.select(codes.first(F.col("rel")).alias("code"), F.array(take(F.col("rel"), F.col("eid"))).alias("taken"), F.col("src").alias("x"), F.col("dst").alias("y"))
     step = edges.select(F.col("eid").alias("by"), F.col("rel").alias("next"), F.col("src").alias("at"), F.col("dst").alias("to"))
     for hop in range(2, n + 1):
         fresh = ~F.exists("taken", lambda t: (t["rel"] == F.col("next")) & (t["eid"] == F.col("by")))
         joined = walk.join(step, (F.col("y") == F.col("at")) & fresh)
-        walk = joined.select(
-            F.concat("body", F.array("next")).alias("body"), F.concat("taken", F.array(take(F.col("next"), F.col("by")))).alias("taken"), "x", F.col("to").alias("y")
-        )
-        if hop == 2 and prefixes is not None:
-            walk = walk.join(prefixes.select("body"), "body", "left_semi")
-    return walk.where(F.size(F.array_distinct("body")) < n).select("body", "x", "y").distinct()
+        walk = joined.select(codes.then(F.col("code"), F.col("next")).alias("code"), F.concat("taken", F.array(take(F.col("next"), F.col("by")))).alias("taken"), "x", F.col("to").alias("y"))
+        if hop in limits:
+            walk = walk.join(limits[hop], "code", "left_semi")
+    return walk.where(F.size(F.array_distinct(F.transform("taken", lambda t: t["rel"]))) < n).select("code", "x", "y").distinct()
 
 
-def paths(edges: DataFrame, n: int, *, factual_only: bool = True, changed: Sequence[str] | None = None, prefixes: DataFrame | None = None) -> DataFrame:
-    """(body, x, y): distinct ends of the walks of n edges; body holds their relations.
+def paths(edges: DataFrame | Graph, n: int, *, factual_only: bool = True, changed: Sequence[str] | None = None, prefixes: DataFrame | None = None, bodies: DataFrame | None = None) -> Walks:
+    """Distinct ends of the walks of n edges by their relations.
 
-    changed keeps bodies with one of these relations. prefixes (body of two) restricts the first two hops, before the
-    third is joined.
+    changed keeps bodies with one of these relations. prefixes (body of two) restricts the first two hops, bodies (body
+    of n) every hop, each before the next is joined.
     """
-    edges = factual(edges, factual_only).select("eid", "src", "rel", "dst")
-    found = _simple(edges, n, prefixes)
-    again = repeating(joinable(edges), n)
-    if again:
-        found = found.unionByName(_repeated(edges.where(F.col("rel").isin(*sorted(again))), n, prefixes))
-    return found.where(touches(F.col("body"), changed)) if changed else found
+    graph = Graph.of(edges, factual_only)
+    codes = Codes(graph.names, n)
+    touched = None if not changed else {i for i, name in enumerate(graph.names) if name in set(changed)}
+    plans = allowed(set(range(len(graph.names))), graph.follows, n, touched)
+    limits = _limits(codes, n, prefixes, bodies)
+    found = _simple(graph, codes, n, plans, touched, limits)
+    near = repeating(graph.follows, n)
+    if near and (touched is None or near & touched):
+        again = _repeated(graph, codes, n, near, limits)
+        if touched is not None:
+            again = again.where(reduce(lambda a, b: a | b, [_in(r, touched) for r in codes.each(F.col("code"), n)]))
+        found = found.unionByName(again)
+    return Walks(found, graph, codes, n)
 
 
-def body_supports(walks: DataFrame, limit: int | None = None) -> DataFrame:
-    """(body, body_support), the most frequent first if there is a limit."""
-    counted = walks.groupBy("body").agg(F.count("*").alias("body_support"))
-    return counted if limit is None else counted.orderBy(F.desc("body_support"), "body").limit(limit)
+def body_supports(walks: Walks, limit: int | None = None) -> DataFrame:
+    """(body, code, body_support), the most frequent first if there is a limit."""
+    counted = walks.df.groupBy("code").agg(F.count("*").alias("body_support"))
+    if limit is not None:
+        counted = counted.orderBy(F.desc("body_support"), "code").limit(limit)  # codes order as names do
+    return walks.named(counted.withColumn("own", F.col("code"))).withColumnRenamed("own", "code")
 
 
 def one_path(edges: DataFrame, body: Sequence[str]) -> DataFrame:
     """(x, y): distinct ends of the walks over exactly this body; inferred edges count."""
+    return walk_ends([edges.where(F.col("rel") == rel) for rel in body], body)
+
+
+def walk_ends(hops: Sequence[DataFrame], body: Sequence[str]) -> DataFrame:
+    """(x, y): distinct ends of the walks whose i-th edge is a row of hops[i], all of relation body[i]."""
     n = len(body)
     walk = None
-    for i, rel in enumerate(body):
-        hop = edges.where(F.col("rel") == rel).select(F.col("eid").alias(f"e{i}"), F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}"))
+    for i, (rel, own) in enumerate(zip(body, hops, strict=True)):
+        hop = own.select(F.col("eid").alias(f"e{i}"), F.col("src").alias(f"n{i}"), F.col("dst").alias(f"n{i + 1}"))
         if walk is None:
             walk = hop
             continue

@@ -2,9 +2,14 @@
 
 import itertools
 import json
+import os
 import random
+import shutil
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,9 +22,10 @@ from hornlake.operators.infer import infer
 from hornlake.plans import prune
 from hornlake.plans.metrics import candidates, rule_metrics
 from hornlake.plans.mine import collisions, mine
-from hornlake.plans.paths import body_supports, joinable, one_path, paths, repeating
+from hornlake.plans.paths import Codes, allowed, body_supports, joinable, one_path, paths, repeating
 from hornlake.schema import CASE_DDL, CHANGE_DDL, RULE_DDL, InferenceConfig, MiningConfig, Settings
 from hornlake.sources.graph import load_edges, load_nodes, synthetic
+from hornlake.sources.store import Store
 from hornlake.streaming.changes import change_stream, on_changes, relation_activity
 
 EDGES = "eid long, src string, rel string, dst string"
@@ -71,16 +77,16 @@ def test_paths_and_scores_on_multigraphs(spark, n, seed, nodes, rels, size):
     edges = _random_graph(seed, nodes, rels, size)
     df = spark.createDataFrame(edges, EDGES)
     want = _walks(edges, n)
-    walks = paths(df, n).persist()
-    got = {(tuple(r.body), r.x, r.y) for r in walks.collect()}
-    assert got == want and walks.count() == len(want)
+    walks = paths(df, n).hold()
+    got = [(tuple(r.body), r.x, r.y) for r in walks.ends().collect()]
+    assert set(got) == want and len(got) == len(want)
     support, denominator = Counter(), Counter()
     heads, starts = {(s, r, d) for _, s, r, d in edges}, {(s, r) for _, s, r, _ in edges}
     for body, x, y in want:
         for r in {e[2] for e in edges}:
             support[body, r] += (x, r, y) in heads
             denominator[body, r] += (x, r) in starts
-    scored = {(tuple(r.body), r["head"]): (r.support, r.pca_denominator) for r in candidates(walks, df).collect()}
+    scored = {(tuple(r.body), r["head"]): (r.support, r.pca_denominator) for r in candidates(walks).collect()}
     assert scored == {k: (s, denominator[k]) for k, s in support.items() if s}
     body, head = next(iter(scored))
     row = rule_metrics(df, body, head).first()
@@ -118,7 +124,7 @@ def test_no_prefix_left_restricts_nothing(graph):
     assert mine(graph, loose).count() == 0
     pairs = prune.by_support(body_supports(paths(graph, 2)), 3)
     assert pairs.isEmpty()
-    assert paths(graph, 3, prefixes=pairs).isEmpty() and not paths(graph, 3).isEmpty()
+    assert paths(graph, 3, prefixes=pairs).df.isEmpty() and not paths(graph, 3).df.isEmpty()
 
 
 def test_factual_only(spark, graph):
@@ -180,7 +186,7 @@ def test_config_ranges(bad):
 
 def test_life_cycle(spark):
     allowed = {(r.status, r.target): r.allowed for r in rules.outcomes(spark.createDataFrame([(s,) for s in rules.TRANSITIONS], "status string")).collect()}
-    for status, target in itertools.product(rules.TRANSITIONS, ("adopted", "rejected")):
+    for status, target in itertools.product(rules.TRANSITIONS, ("adopted", "rejected", "applied")):
         table = _rules(spark, (("a", "b"), "h", 1, 1.0), status=status)
         rule_id = table.first().rule_id
         if allowed[status, target]:
@@ -336,6 +342,72 @@ def test_engine_end_to_end(spark, graph, tmp_path):
     engine.append_changes([("bob", "lives", "x")])
     assert engine.pending().count() == 2
     assert engine.mine_incremental(2, ["partOf"]).count() == 1
+    stat = engine.rule_stat("rule__bornin__locatedin__to__nationality")
+    assert (stat["support"], stat["pca_denominator"], stat["updated_at"]) == (1, 1, NOW)
+    with pytest.raises(KeyError):
+        engine.rule_stat("none")
+
+
+def test_store_commits_all_or_nothing(spark, tmp_path):
+    store, one = Store(spark, str(tmp_path / "s"), {"b": "k"}), spark.createDataFrame([("x", 1)], "k string, v long")
+    assert store.read("a", "k string, v long").isEmpty() and store.current() == (0, {})
+    assert store.commit({"a": one, "b": one}) == 1
+    early = store.read("a", "k string, v long")
+    for _ in range(5):
+        store.commit({"a": one.limit(0)}, {"b": one})
+    assert store.read("b", "k string, v long").count() == 6 and store.read("a", "k string, v long").isEmpty() and store.version("b") == 6
+    assert early.count() == 1  # older versions stay readable
+    assert store.vacuum() == [] and len(store.vacuum(0)) == 5 and store.read("b", "k string, v long").count() == 6
+    store.MOST_PARTS = 3
+    store.commit(appended={"b": one})
+    assert len(store.current()[1]["b"]["parts"]) == 1 and store.read("b", "k string, v long").count() == 7
+    late = Store(spark, store.root)
+    late.current = lambda now=late.current(): now
+    store.commit({"a": one})
+    with pytest.raises(RuntimeError):
+        late.commit({"a": one})
+
+
+def test_facts_get_ids_by_content(spark):
+    top = (1 << 63) - 5
+    edges = spark.createDataFrame([(top + i, f"a{i}", "r", "b") for i in range(4)] + [(7, "b", "s", "c")], EDGES).repartition(4)
+    created = infer(edges, _rules(spark, (("r", "s"), "t", 4, 0.9))).created
+    assert created.count() == 4 and created.select("eid").distinct().count() == 4
+    again = infer(edges, _rules(spark, (("r", "s"), "t", 4, 0.9))).created
+    assert created.select("eid", "src").exceptAll(again.select("eid", "src")).isEmpty()
+
+
+def test_numbers_without_gaps(spark):
+    rows = spark.range(1000).select(F.lit(NOW).alias("created_at"), F.format_string("k%04d", "id").alias("dedup_key"), F.lit(None).cast("long").alias("change_seq"))
+    got = changelog.numbered(rows.repartition(7), 10, "created_at", "dedup_key").orderBy("dedup_key").collect()
+    assert [r.change_seq for r in got] == list(range(11, 1011))
+    assert changelog.numbered(rows.limit(0), 10, "created_at", "dedup_key").isEmpty()
+
+
+def test_wide_vocabularies_and_pushed_filters(spark, graph):
+    codes = Codes(tuple(f"r{i:05}" for i in range(9000)), 5)
+    assert not codes.packed and Codes(codes.names, 4).packed
+    row = spark.createDataFrame([(["r00003", "r08999"],)], "b array<string>")
+    for longest in (4, 5):
+        held = Codes(codes.names, longest)
+        assert row.select(held.body(held.code(F.col("b"), 2), 2)).first()[0] == ["r00003", "r08999"]
+        assert row.select(held.code(F.array(F.lit("r00003"), F.lit("none")), 2)).first()[0] is None
+    follows = {0: {1, 2}, 1: {3}}
+    assert allowed({0, 1, 2, 3}, follows, 2) == [({0, 1}, {0, 1}), ({1, 2, 3}, {1, 2, 3})]
+    assert allowed({0, 1, 2, 3}, follows, 2, {3}) == [({0, 1}, {1}), ({1, 2, 3}, set())]
+    assert allowed({0, 1, 2, 3}, follows, 3, {2}) == [({0}, set()), ({1}, set()), ({3}, set())]
+
+
+def test_without_the_operators_folder(tmp_path):
+    """The entry point and the engine's queries stand alone."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "hornlake", tmp_path / "hornlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'mine2' in q and set(o) <= set(q); assert not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    assert done.returncode == 0, done.stderr
 
 
 def test_loads_and_synthetic_graph(spark):
@@ -382,6 +454,7 @@ def test_cli(capsys):
     assert cli.main(["--root", "x", "rules", "adopt", "none"], fake) == 1
     assert cli.main(["--root", "x", "append", "--add", "a,b"], fake) == 2
     assert cli.main(["--root", "x", "mine", "--body-length", "9"], fake) == 2
+    assert cli.main(["--root", "x", "consume", "--confidence-ub-weight", "2"], fake) == 2 and cli.main(["--root", "x", "conflicts", "add"], fake) == 2
     with pytest.raises(SystemExit) as stop:
         cli.main(["--root", "x", "nothing"], fake)
     assert stop.value.code == 2
