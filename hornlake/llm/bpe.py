@@ -1,9 +1,9 @@
 """Byte-level BPE with Spark higher-order functions.
 
 Texts are cut into pretokens once; a part of a few thousand documents becomes one row with its distinct words and, for
-each document, the places of its words among them. Words are encoded by a fold: the state holds a word's byte arrays
-and the ranks of their neighbours, and each step merges the pair of least rank, looked up in a literal rank map.
-Words that several parts share are encoded once and broadcast up to a fixed number; all others are encoded in the row
+each document, the places of its words among them. Words are encoded by a fold: the state holds the ids of a word's
+pieces, at first its bytes, and the ranks of neighbours; each step merges the pair of least rank, looked up in a rank map
+of pairs. Words that are pieces need no fold. Words that several parts share are encoded once and broadcast up to a fixed number; all others are encoded in the row
 of their part. Decoding concatenates the binary pieces of the ids.
 """
 
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +35,13 @@ SHARED_WORDS = 1 << 20
 SHARED_BYTES = 64
 #: Words to a row when shared words are encoded.
 BLOCK = 4096
-#: Longer words are folded outside the fold, whose steps cost a word's length each.
-LONG = 512
+#: Longer words are merged outside the fold, whose steps cost a word's length each.
+LONG = 4096
 #: Unicode White_Space: what the pattern's \s stands for.
 SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-NONE = 1 << 30
+#: Bits of an id and of a place in a word, and the rank of a pair that has none.
+ID_BITS, LOW_BITS = 20, 33
+NONE = 1 << ID_BITS
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,36 +58,63 @@ def compiled(pattern: str) -> regex.Pattern:
 
 @dataclass(frozen=True)
 class Codec:
-    """Ranks and pattern, and their literals for Spark."""
+    """Ranks and pattern, and the rank map of pairs for Spark."""
 
     ranks: dict[bytes, int]
     pattern: str
 
-    SLOTS = 1 << 16
-    MOVES = 1 << 14
+    @cached_property
+    def end(self) -> int:
+        """A number that no piece has; it stands before and after a word."""
+        return max(self.ranks.values()) + 1
+
+    @cached_property
+    def byte_ids(self) -> np.ndarray:
+        """The id of each byte."""
+        return np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+
+    @cached_property
+    def whole(self) -> tuple[pa.Array, pa.Array]:
+        """Pieces and their ids: what a word gives that is a piece itself."""
+        return pa.array(list(self.ranks), pa.binary()), pa.array(list(self.ranks.values()), pa.int32())
 
     @cached_property
     def table(self) -> pa.Array:
-        """The rank map as one struct value: a perfect hash by xxhash64 whose buckets are moved to free slots."""
-        buckets: dict[int, list[tuple[int, bytes, int]]] = {}
+        """The rank map as one struct value: the pair (a, b) has rank[base[a] + b] if check[base[a] + b] is a, else none.
+
+        The rows of all a are laid over each other so that no two entries meet.
+        """
+        rows: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in self.ranks.items():
-            h = xxhash.xxh64_intdigest(piece, 42)
-            buckets.setdefault(h >> 45 & (self.MOVES - 1), []).append((h, piece, rank))
-        moves, slots = [0] * self.MOVES, [(b"", NONE)] * self.SLOTS
-        for bucket, held in sorted(buckets.items(), key=lambda x: (-len(x[1]), x[0])):
-            move = 0
-            while True:
-                at = [(h + move * (h >> 20 & 0xFFFFF | 1)) & (self.SLOTS - 1) for h, _, _ in held]
-                if len(set(at)) == len(at) and all(slots[i][1] == NONE for i in at):
-                    break
-                move += 1
-            moves[bucket] = move
-            for i, (_, piece, rank) in zip(at, held, strict=True):
-                slots[i] = (piece, rank)
-        text = [b""] * (max(self.ranks.values()) + 1)
+            for cut in range(1, len(piece)):
+                left, right = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    rows.setdefault(left, []).append((right, rank))
+        width = self.end + 1
+        if width >= NONE:
+            raise ValueError(f"ids must lie below {NONE - 1}")
+        size = 4 * sum(map(len, rows.values())) + width
+        base, check, found = np.zeros(width, np.int32), np.full(size + width, -1, np.int32), np.full(size + width, NONE, np.int32)
+        at = 0
+        for left, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+            places, values = (np.array(x) for x in zip(*row, strict=True))
+            while (check[at + places] >= 0).any():
+                at = (at + 40_503) % size  # a stride of no pattern; the table is a quarter full
+            base[left], check[at + places], found[at + places] = at, left, values
+        text = [b""] * width
         for piece, rank in self.ranks.items():
             text[rank] = piece
-        return pa.array([{"move": moves, "piece": [p for p, _ in slots], "rank": [r for _, r in slots], "text": text}], TABLE)
+        return pa.array([{"base": base, "check": check, "rank": found, "text": text}], TABLE)
+
+    def numbers(self, words: pa.Array) -> pa.Array:
+        """Each word as the ids of its bytes, between two ends."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        stops = np.cumsum(sizes + 2)
+        ids = np.full(int(stops[-1]) if len(stops) else 0, self.end, np.int32)
+        inside = np.ones(len(ids), bool)
+        inside[stops - 1] = inside[stops - sizes - 2] = False
+        ids[inside] = self.byte_ids[np.frombuffer(b"".join(words.to_pylist()), np.uint8)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids))
 
     def encode_long(self, word: bytes) -> list[int]:
         """The same merges with a heap, for words over LONG bytes."""
@@ -122,8 +150,8 @@ class Codec:
         return found
 
 
-TABLE = pa.struct([("move", pa.list_(pa.int32())), ("piece", pa.list_(pa.binary())), ("rank", pa.list_(pa.int32())), ("text", pa.list_(pa.binary()))])
-TABLE_DDL = "struct<move:array<int>,piece:array<binary>,rank:array<int>,text:array<binary>>"
+TABLE = pa.struct([("base", pa.list_(pa.int32())), ("check", pa.list_(pa.int32())), ("rank", pa.list_(pa.int32())), ("text", pa.list_(pa.binary()))])
+TABLE_DDL = "struct<base:array<int>,check:array<int>,rank:array<int>,text:array<binary>>"
 
 
 @dataclass(frozen=True)
@@ -132,42 +160,43 @@ class Folds:
 
     table: Column
 
-    def rank(self, piece: Column) -> Column:
-        """The piece's rank, NONE if it has none."""
-
-        def slot(h: Column) -> Column:
-            move = F.get(self.table["move"], F.shiftrightunsigned(h, 45).bitwiseAND(F.lit(Codec.MOVES - 1)).cast("int"))
-            step = F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(0xFFFFF)).bitwiseOR(F.lit(1)) * move
-            return (h.bitwiseAND(F.lit((1 << 40) - 1)) + step).bitwiseAND(F.lit(Codec.SLOTS - 1)).cast("int")
-
-        return _let(slot(F.xxhash64(piece)), lambda i: F.when(F.get(self.table["piece"], i) == piece, F.get(self.table["rank"], i)).otherwise(F.lit(NONE)))
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of a pair, NONE if it has none."""
+        at = F.get(self.table["base"], left) + right
+        return F.when(F.get(self.table["check"], at) == left, F.get(self.table["rank"], at)).otherwise(F.lit(NONE))
 
     def encode(self, word: Column) -> Column:
-        """The ids of a word of 1 to LONG bytes, as array<int>."""
-        size = F.octet_length(word)
-
-        def step(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-
-            def at(i: Column) -> Column:  # the first pair of least rank is (i, i + 1), from 0
-                def merged(piece: Column) -> Column:
-                    joined = F.transform(parts, lambda x, j: F.when(j == i, piece).otherwise(x))
-                    around = lambda x, j: (
-                        F.when((j < i - 1) | (j > i + 1), x).when(j == i - 1, self.rank(F.concat(F.get(parts, j), piece))).when(j == i + 1, self.rank(F.concat(piece, F.get(parts, i + 2)))).otherwise(x)
-                    )
-                    return F.struct(F.filter(joined, lambda _, j: j != i + 1).alias("parts"), F.filter(F.transform(ranks, around), lambda _, j: j != i).alias("ranks"))
-
-                return _let(F.concat(F.get(parts, i), F.get(parts, i + 1)), merged)
-
-            least = F.array_min(F.transform(ranks, lambda r, j: r.cast("long") * (2 * LONG) + j))
-            return _let(least, lambda x: F.when(x < NONE * 2 * LONG, _let((x % (2 * LONG)).cast("int"), at)).otherwise(state))
-
-        start = F.struct(
-            F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1))).alias("parts"),
-            F.transform(F.sequence(F.lit(1), size - 1), lambda i: self.rank(F.substr(word, i, F.lit(2)))).alias("ranks"),
-        )
-        folded = F.transform(F.aggregate(F.sequence(F.lit(2), size), start, step)["parts"], self.rank)
-        return _let(self.rank(word), lambda whole: F.when(whole < NONE, F.array(whole)).otherwise(folded))
+        """The ids of a word, given as its bytes' ids between two ends, as array<int>.
+
+        The state is an array of longs, one a piece: the rank of the pair that it begins, its place in the word, its id.
+        The least one is the first pair of least rank, and that rank is the id of what a step makes of it. Places keep
+        the longs apart, so that pieces are replaced and removed by value, which costs less than by index.
+        """
+        n = F.size(word)
+        own = lambda piece: piece.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int")
+        place = lambda piece: piece.bitwiseAND(F.lit((1 << LOW_BITS) - (1 << ID_BITS)))
+        ranked = lambda rank, low: F.shiftleft(rank.cast("long"), LOW_BITS).bitwiseOR(low)
+
+        def step(pieces: Column, _: Column) -> Column:
+            def merged(least: Column) -> Column:
+                def at(i: Column) -> Column:  # the pair's places are i and i + 1, from 1
+                    made = F.shiftright(least, LOW_BITS).cast("int")
+                    before, right, after = F.get(pieces, i - 2), F.get(pieces, i), F.get(pieces, i + 1)
+                    left = ranked(self.rank(own(before), made), before.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))
+                    new = ranked(self.rank(made, own(after)), place(least).bitwiseOR(made.cast("long")))
+                    return F.array_remove(F.transform(pieces, lambda x: F.when(x == least, new).when(x == before, left).otherwise(x)), right)
+
+                return F.when(least < NONE << LOW_BITS, _let(F.array_position(pieces, least).cast("int"), at)).otherwise(pieces)
+
+            return _let(F.array_min(pieces), merged)
+
+        def first(a: Column, j: Column) -> Column:
+            rank = F.when(j < n - 1, self.rank(a, F.get(word, j + 1))).otherwise(F.lit(NONE))
+            return ranked(rank, F.shiftleft(j.cast("long"), ID_BITS).bitwiseOR(a.cast("long")))
+
+        folded = F.aggregate(F.sequence(F.lit(4), F.greatest(n, F.lit(4))), F.transform(word, first), step)
+        end = F.element_at(word, 1)
+        return F.transform(F.filter(folded, lambda piece: own(piece) != end), own)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their pieces, concatenated."""
@@ -223,8 +252,8 @@ def _shared_words(parts: DataFrame, plain) -> pa.Table:
         least -= 1
         held += tail.get(least, 0)
     picked = several.where(F.col("n") >= 1 << least).select("word")
-    blocks = picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").mapInArrow(_blocks(plain), f"words array<binary>, table {TABLE_DDL}")
-    coded = blocks.select("words", Folds(F.col("table")).coded("words").alias("coded"))
+    blocks = picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").mapInArrow(_blocks(plain), f"words array<binary>, numbers array<array<int>>, table {TABLE_DDL}")
+    coded = blocks.select("words", Folds(F.col("table")).coded("numbers").alias("coded"))
     return coded.select(F.explode(F.arrays_zip("words", "coded")).alias("x")).select("x.words", "x.coded.ids", "x.coded.bytes").toArrow().rename_columns(["word", "ids", "bytes"])
 
 
@@ -232,22 +261,27 @@ def _blocks(plain):
     """Rows of BLOCK words and the rank map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = plain.value.table
+        codec = plain.value
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 part = batch["word"].slice(a, BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(part)], part), table], ["words", "table"])
+                numbers = codec.numbers(part)
+                whole = [0, len(part)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, part), pa.ListArray.from_arrays(whole, numbers), codec.table], ["words", "numbers", "table"])
 
     return run
 
 
-def _known(shared, long_codec):
-    """Rows of parts with what the shared words give for theirs, and the rest to be encoded."""
+def _known(shared, plain):
+    """Rows of parts with what shared words and pieces give for theirs, and the rest as numbers to be folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), long_codec.value
+        table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), plain.value
         word, ids, data = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids", "bytes"))
-        pieces = {rank: piece for piece, rank in codec.ranks.items()}
+        pieces, numbers = codec.whole
+        word, data = pa.concat_arrays([word, pieces]), pa.concat_arrays([data, pieces])
+        ids = pa.concat_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), numbers).cast(ids.type)])
+        text = codec.table.field("text").flatten()
         for part in slices(batches, 1):
             words = part["words"].flatten()
             at = pc.index_in(words, value_set=word)
@@ -255,9 +289,9 @@ def _known(shared, long_codec):
             odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
             rare = pc.and_(pc.is_null(at), pc.invert(odd))
             longs = [(i, codec.encode_long(words[i].as_py())) for i in pc.indices_nonzero(odd).to_pylist()]
-            longs = [{"at": i, "ids": x, "bytes": b"".join(pieces[r] for r in x)} for i, x in longs]
+            longs = [{"at": i, "ids": x, "bytes": b"".join(text.take(pa.array(x, pa.int32())).to_pylist())} for i, x in longs]
             whole = [0, len(words)]
-            rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), words.filter(rare)
+            rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), codec.numbers(words.filter(rare))
             yield pa.RecordBatch.from_arrays(
                 [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, ids.take(at)), pa.ListArray.from_arrays(whole, data.take(at)), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
                 ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
@@ -328,7 +362,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col="text", w
     with pa.ipc.new_stream(sink, shared_words.schema) as stream:
         stream.write_table(shared_words)
     shared = context.broadcast(sink.getvalue().to_pybytes())
-    schema = f"rows array<{kind}>, counts binary, codes binary, known array<array<int>>, known_bytes array<binary>, longs array<struct<at:int,ids:array<int>,bytes:binary>>, rare_at array<int>, rare array<binary>, table {TABLE_DDL}"
+    schema = f"rows array<{kind}>, counts binary, codes binary, known array<array<int>>, known_bytes array<binary>, longs array<struct<at:int,ids:array<int>,bytes:binary>>, rare_at array<int>, rare array<array<int>>, table {TABLE_DDL}"
     known = parts.mapInArrow(_known(shared, plain), schema)
     whole = known.withColumn("rare", Folds(F.col("table")).coded("rare")).drop("table")
     return whole.mapInArrow(_assemble(with_ids), f"row {kind}, n_tokens long, ids_sha256 string, decoded binary, ids array<int>")
