@@ -1,4 +1,5 @@
-"""Near duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""Shingle sets, and what SimHash's near duplicates by similarity need beside fingerprints: exact verification, and a
+prefix filter that finds the pairs that fingerprints miss.
 
 The distinct shingles of a text are ordered by how often a sample holds them, rarest first, then by hash. Two sets of
 similarity s or more share a shingle within the first n - ceil(s n) + 1 of each, whatever the order, so filing sets
@@ -18,11 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, written
+from .common import slices, written
 from .components import components
 
-WORDS = 5
-SIMILARITY = 0.8
 SEED = 42
 #: Texts whose shingles are counted for the order, and the most shingles that the order tells apart by count.
 SAMPLE = 20_000
@@ -31,8 +30,8 @@ MOST_COUNTED = 1 << 19
 SLACK = 1e-9
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct XXH64 of the shingles of ASCII-lower-cased words; all words make one if they are fewer."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each shingle of ASCII-lower-cased words; all words make one if they are fewer, none make none."""
     tokens = text.lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -40,7 +39,12 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     ends = list(itertools.accumulate(len(t) + 1 for t in tokens))
     digest = xxhash.xxh64_intdigest
     own = (digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends[: n - 1]], ends[min(words, len(tokens)) - 1 :], strict=True))
-    return np.unique(np.fromiter(own, np.uint64, n))
+    return np.fromiter(own, np.uint64, n)
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(text, words))
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -68,30 +72,42 @@ def _order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by_hash], top["count"].to_numpy().astype(np.int64)[by_hash]
 
 
-def _filed(shared, words: int, similarity: float):
-    """key, doc_id, text, node (digest of the set), size, prefix (shingles that the set is filed under)."""
+FILED = "key long, doc_id long, text binary, fp long, node long, size int, prefix array<long>"
+
+
+def _filed(shared, words: int, similarity: float, fingerprint):
+    """FILED: node is a digest of the set, prefix holds the shingles that the set is filed under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
         for part in slices(batches):
-            nodes, sizes, prefixes = [], [], []
+            prints, nodes, sizes, prefixes = [], [], [], []
             for text in part["text"].to_pylist():
-                own = shingles(text, words)
+                each = shingle_hashes(text, words)
+                own = np.unique(each)
                 n = len(own)
                 often = np.zeros(n, np.int64)
                 if len(hashes):
                     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                     often = np.where(hashes[at] == own, counts[at], 0)
                 most = n - math.ceil(similarity * n - SLACK) + 1 if n else 0
+                prints.append(fingerprint(each))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(n)
                 prefixes.append(own[np.lexsort((own, often))[:most]].view(np.int64))
-            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part["key"], part["doc_id"], part["text"], *arrays], ["key", "doc_id", "text", "node", "size", "prefix"])
+            digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
+            arrays = [*digests, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part["key"], part["doc_id"], part["text"], *arrays], [x.split()[0] for x in FILED.split(", ")])
 
     return run
 
 
+def filed(rows: DataFrame, words: int, similarity: float, fingerprint) -> DataFrame:
+    """FILED for rows (key, doc_id, text); fp is the fingerprint of a text's shingles, repeats included."""
+    shared = rows.sparkSession.sparkContext.broadcast(_order(rows, words))
+    return written(rows.mapInArrow(_filed(shared, words, similarity, fingerprint), FILED), "shingle-sets")
+
+
 def _neighbours(similarity: float):
     """shingle, node, size and the node before in the bucket, if its size allows a link. Rows come by shingle, size and node."""
 
@@ -167,19 +183,12 @@ def _links(pairs: DataFrame, filed: DataFrame, words: int, similarity: float) ->
     return written(both.mapInArrow(_verified(words, similarity), "src long, dst long"), "shingle-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", key_col=None, words=WORDS, similarity=SIMILARITY) -> DataFrame:
-    """key (key_col, null without one), doc_id, group for each row of docs; rows share a group if links connect them.
-
-    Rows link if the Jaccard similarity of their sets of shingles is at least `similarity`. Texts of fewer words are one
-    shingle; those without a word (null and empty ones too) link with each other only. Empty table: no rows.
-    """
-    key = (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key")
-    rows = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_order(rows, words))
-    filed = written(rows.mapInArrow(_filed(shared, words, similarity), "key long, doc_id long, text binary, node long, size int, prefix array<long>"), "shingle-sets")
+def grouped(filed: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """key, doc_id, group for filed: candidates (a, b) by node and neighbours are verified first, then what is left between groups."""
     dealt = filed.select(F.explode("prefix").alias("shingle"), "size", "node").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
     near = written(dealt.mapInArrow(_neighbours(similarity), "shingle long, node long, size int, before long"), "shingle-near")
-    first = written(near.where("before IS NOT NULL").select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b")).distinct(), "shingle-pairs")
+    pairs = near.where("before IS NOT NULL").select(F.col("node").alias("a"), F.col("before").alias("b")).unionByName(candidates.where("a <> b"))
+    first = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
     links = _links(first, filed, words, similarity)
     tree = components(links).withColumnRenamed("node", "member")
     rooted = near.join(tree, F.col("node") == F.col("member"), "left").select("shingle", "size", "node", F.coalesce("root", "node").alias("root"))

@@ -286,7 +286,7 @@ def _jaccard_groups(docs):
 
 
 def test_shingles_find_all_similar_pairs(spark, odd, sample, none):
-    from hornlake.llm import shingles
+    from hornlake.llm import simhash
 
     rng = random.Random(3)
     made = []
@@ -298,10 +298,10 @@ def test_shingles_find_all_similar_pairs(spark, odd, sample, none):
     for docs in (odd, sample, spark.createDataFrame(made, "doc_id long, text string")):
         keyed = [(k, r["doc_id"], r["text"]) for k, r in enumerate(docs.collect())]
         df = spark.createDataFrame(keyed, "key long, doc_id long, text string").repartition(3)
-        got = {r.key: r.group for r in shingles.near_duplicates(df, key_col="key").collect()}
+        got = {r.key: r.group for r in simhash.similar_documents(df, key_col="key").collect()}
         want = _jaccard_groups([{"text": t} for _, _, t in keyed])
         assert len(got) == len(want) and len({(got[k], w) for k, w in enumerate(want)}) == len(set(got.values())) == len(set(want))
-    assert shingles.near_duplicates(none).count() == 0
+    assert simhash.similar_documents(none).count() == 0
 
 
 def test_pipeline_drops_similar_documents(spark):
