@@ -64,6 +64,7 @@ RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1,
 BASE = ("assign", "access", "hex")
 
 LEDGER = "digest string, rule string, spans array<struct<start:long,end:long>>"
+FOUND = "array<struct<rule:string,spans:array<struct<start:long,end:long>>>>"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -80,17 +81,17 @@ def _scan(rules: tuple[Rule, ...]):
     keys = [r.key for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        kind = pa.list_(pa.struct([("rule", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
+        here: set[str] = set()  # blobs of this task: rows that repeat path and text meet here mostly
         for batch in slices(batches):
-            digests, names, spans = [], [], []
+            digests, found = [], []
             for digest, text, seen in zip(batch["digest"].to_pylist(), batch["text"].to_pylist(), batch["seen"].to_pylist(), strict=True):
-                text = text.decode("utf-8", "replace")
-                for rule, key in zip(rules, keys, strict=True):
-                    if key not in (seen or ()):
-                        digests.append(digest)
-                        names.append(key)
-                        spans.append([{"start": a, "end": b} for a, b in rule.scan(text)])
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(names, pa.string()), pa.array(spans, kind)], ["digest", "rule", "spans"])
+                if digest not in here:
+                    here.add(digest)
+                    text = text.decode("utf-8", "replace")
+                    digests.append(digest)
+                    found.append([{"rule": key, "spans": [{"start": a, "end": b} for a, b in rule.scan(text)]} for rule, key in zip(rules, keys, strict=True) if key not in (seen or ())])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(found, kind)], ["digest", "found"])
 
     return run
 
@@ -100,7 +101,8 @@ def scan(versions: DataFrame, ledger: str, *, id_col="doc_id", text_col="text",
 
     A row is one version of one path, named by id_col. Null text is an empty blob; rows with equal text, or with an
     equal id, each get the findings of their own text. Null ids are kept. Empty table: no rows, nothing scanned.
-    Other columns are not read. A run that dies leaves the ledger as it was or whole; a rerun scans what is missing.
+    Other columns are not read. The ledger gets one row for each blob and rule, however often a row is repeated and
+    whatever ids are null. A run that dies leaves the ledger as it was or whole; a rerun scans what is missing.
     """
     spark = versions.sparkSession
     rows = versions.select(F.col(id_col).alias("path"), as_bytes(F.col(text_col)).alias("text")).withColumn("digest", F.sha2("text", 256))
@@ -111,8 +113,8 @@ def scan(versions: DataFrame, ledger: str, *, id_col="doc_id", text_col="text",
     blobs = paths.groupBy("digest").agg(F.min("path").alias("lender")).join(done, "digest", "left")
     todo = written(blobs.where(F.col("seen").isNull() | (F.size("seen") < len(keys))), "secret-todo")
     lent = rows.join(todo.withColumnRenamed("digest", "wanted"), F.col("path").eqNullSafe(F.col("lender")) & (F.col("digest") == F.col("wanted")))
-    found = lent.select("digest", "text", "seen").mapInArrow(_scan(rules), LEDGER)
-    found.write.mode("append").parquet(ledger)
+    found = lent.select("digest", "text", "seen").mapInArrow(_scan(rules), f"digest string, found {FOUND}").dropDuplicates(["digest"])
+    found.select("digest", F.explode("found").alias("f")).select("digest", "f.rule", "f.spans").write.mode("append").parquet(ledger)
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     ledger_rows = read_ledger(spark, ledger).where(F.col("rule").isin(keys)).where(F.size("spans") > 0).dropDuplicates(["digest", "rule"])
     each = ledger_rows.select("digest", F.explode("spans").alias("s"), order[F.col("rule")].alias("place"), F.substring_index("rule", "@", 1).alias("kind"))
