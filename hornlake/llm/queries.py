@@ -58,7 +58,7 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_warc(spark, sf_dir):
-    return warc.round_trip(table(spark, sf_dir, "pages"), compression="gzip")
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op1_simhash(spark, sf_dir):

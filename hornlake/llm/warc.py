@@ -21,10 +21,12 @@ from .common import as_bytes, drop_written, scratch, written
 #: Fixed values of the format (ISO 28500).
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
-#: Records of a file; bounds what pointer jumping needs to cover.
-RECORDS_PER_FILE = 1000
+#: Records of a file; bounds what pointer jumping needs to cover. Files are read in splits, whatever their size.
+RECORDS_PER_FILE = 10_000
 #: Payloads of at least so many bytes are written once, later copies as revisits.
 MIN_REVISIT = 0
+#: Tasks that the rows of one payload are dealt to.
+SPREAD = 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -66,14 +68,15 @@ def write_warc(pages: DataFrame, path: str, *, id_col="page_id", url_col="url",
 
     Of the rows with equal payloads of at least min_revisit bytes, that with the smallest id is a response and the
     others revisit it. Null payloads count as empty ones, null urls leave the header out, null ids come last and
-    repeated ids are rows of their own: of equal rows one is the response. Other columns are not read.
+    repeated ids are rows of their own: all rows of a payload that share its smallest id are responses. Empty table: no
+    records. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), as_bytes(F.col(payload_col)).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "hex": F.sha1("payload")})
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id")
     groups = rows.where(F.col("size") >= min_revisit).groupBy("hex").agg(F.min(order).alias("at"), F.count("*").alias("n"))
     copied = written(groups.where(F.col("n") > 1).select("hex", F.col("at.page_id").alias("first"), F.lit(True).alias("copied")), "warc-copied")
-    linked = rows.join(copied, "hex", "left").withColumn("digest", _base32(F.col("hex")))
+    linked = _linked(rows, copied).withColumn("digest", _base32(F.col("hex")))
     revisit = F.coalesce(F.col("copied") & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string"))
     record = F.concat(F.lit(MAGIC), _header(revisit), F.lit(BREAK), body)
@@ -81,6 +84,23 @@ def write_warc(pages: DataFrame, path: str, *, id_col="page_id", url_col="url",
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+#: Digests of copied payloads that are broadcast at most; 57 bytes each.
+MOST_BROADCAST = 1 << 18
+
+
+def _linked(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """rows with first and copied of their digest.
+
+    A few digests are broadcast. For more, a digest is looked up apart from the payloads: rows are dealt by digest and
+    one of SPREAD numbers, so that a payload that many rows share does not land in one task.
+    """
+    if copied.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(copied), "hex", "left")
+    dealt = rows.withColumn("spread", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
+    each = copied.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(each, ["hex", "spread"], "left").drop("spread")
+
+
 def _field(header: bytes, name: bytes) -> str | None:
     at = header.find(b"\r\n" + name + b": ")
     if at < 0:
@@ -144,7 +164,7 @@ def _placed(found: DataFrame) -> DataFrame:
     ends = found.groupBy("file", "block").agg((F.max(F.col("rel") + F.col("bytes")) + len(MAGIC)).alias("bytes_here"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # splits of a file
     starts = ends.select("file", "block", F.coalesce(F.sum("bytes_here").over(before), F.lit(0)).alias("start"))
-    placed = found.join(starts, ["file", "block"]).withColumn("offset", F.col("start") + F.col("rel") - len(MAGIC))
+    placed = found.join(starts.hint("merge"), ["file", "block"]).withColumn("offset", F.col("start") + F.col("rel") - len(MAGIC))
     return placed.where(F.col("offset") >= 0).drop("start").withColumn("successor", F.col("offset") + F.col("successor"))
 
 
@@ -156,10 +176,10 @@ def _reachable(placed: DataFrame) -> DataFrame:
     stages, covered = [], 1
     while covered < most:
         for _ in range(2):  # two doublings a table
-            hop = jump.withColumnRenamed("successor", "to")
+            hop = jump.withColumnRenamed("successor", "to").hint("merge")  # both sides grow with the archives
             reach = reach.unionByName(reach.join(hop, ["file", "offset"]).select("file", F.col("to").alias("offset"))).distinct()
             after = jump.select("file", F.col("offset").alias("to"), F.col("successor").alias("then"))
-            jump = hop.join(after, ["file", "to"]).select("file", "offset", F.col("then").alias("successor"))
+            jump = hop.join(after.hint("merge"), ["file", "to"]).select("file", "offset", F.col("then").alias("successor"))
             covered *= 2
         reach, jump = written(reach, "warc-reach"), written(jump, "warc-jump")
         for old in stages:
@@ -198,7 +218,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     placed = written(_placed(written(_cuts(spark, path).mapInArrow(_candidates, CANDIDATE), "warc-cuts")), "warc-placed")
     reach = _reachable(placed)
-    records = placed.join(reach, ["file", "offset"], "left_semi")
+    records = placed.join(reach.hint("merge"), ["file", "offset"], "left_semi")
     kept = records.select("file", "offset", "whole", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     partial = written(records.where(~F.col("whole")).select("file", "offset", "successor", "payload_bytes"), "warc-partial")
     if partial.isEmpty():
