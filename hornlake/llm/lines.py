@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from .common import as_bytes, remove, scratch, slices, written
 
 MIN_CHARS = 10
-BATCHES = 4
-FANOUT = 4
+#: Batches of documents, and runs of a level that are merged to one of the next: of five batches four leave runs,
+#: which end as one run of level 2.
+BATCHES = 5
+FANOUT = 2
 SPACE = b" \t\n\x0b\x0c\r"
 #: Null ids come after all others.
 LAST_ID = (1 << 63) - 1
@@ -52,18 +54,27 @@ def _line_hashes(min_chars: int):
 
 
 class RunStore:
-    """Levels of sorted runs (h, owner) in the shared folder, bucketed by h so that merges need no new shuffle."""
+    """Levels of sorted runs (h, owner) in the shared folder.
+
+    A run is bucketed by h, a sorted file to each bucket, so that joins with it and merges of runs read the files in
+    order, without a new shuffle or sort of the run. The session's scans keep that order while the store is open.
+    """
+
+    IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
+        self.before = spark.conf.get(self.IN_ORDER)
+        spark.conf.set(self.IN_ORDER, "true")
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, dealt: bool = False) -> str:
+        """A run of rows, which are dealt by bucket already if they come from a join of runs."""
         name = f"line_run_{uuid.uuid4().hex[:12]}"
         self.paths[name] = scratch(self.spark, name)
-        ordered = rows.repartition(self.buckets, "h")
+        ordered = rows if dealt else rows.repartition(self.buckets, "h")
         ordered.write.option("path", self.paths[name]).option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         return name
 
@@ -77,7 +88,7 @@ class RunStore:
     def owners(self, firsts: DataFrame) -> DataFrame:
         """firsts (h, doc_id, many) with the owner that an earlier run names, null for unseen hashes."""
         for i, run in enumerate(self.runs()):
-            firsts = firsts.join(run.withColumnRenamed("owner", f"owner{i}"), "h", "left")
+            firsts = firsts.join(run.withColumnRenamed("owner", f"owner{i}").hint("merge"), "h", "left")
         named = [F.col(f"owner{i}") for i in range(len(self.runs()))]
         return firsts.select("h", "doc_id", "many", F.coalesce(*named, F.lit(None).cast("long")).alias("owner"))
 
@@ -88,18 +99,24 @@ class RunStore:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self.spark.table(old[0])
-            for name in old[1:]:
-                merged = merged.unionByName(self.spark.table(name))
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._write(merged))
+            self.levels[level + 1].append(self._write(self.merged(old), dealt=True))
             for name in old:
                 self._drop(name)
             self.levels[level] = []
             level += 1
 
+    def merged(self, names: list[str]) -> DataFrame:
+        """The rows of several runs, no two of which hold the same hash, bucket by bucket."""
+        found = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).withColumnRenamed("owner", "other")
+            found = found.join(more.hint("merge"), "h", "full_outer").select("h", F.coalesce("owner", "other").alias("owner"))
+        return found
+
     def close(self) -> None:
+        self.spark.conf.set(self.IN_ORDER, self.before)
         for name in list(self.paths):
             self._drop(name)
 
@@ -114,8 +131,15 @@ def _batch_edges(docs: DataFrame, batches: int) -> list[int]:
 
 def _dropped(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> list[DataFrame]:
     """For each batch the pairs (doc_id, h) of lines that go."""
-    store, found = RunStore(docs.sparkSession, fanout), []
-    edges = _batch_edges(docs, batches)
+    store = RunStore(docs.sparkSession, fanout)
+    try:
+        return _dropped_with(store, docs, min_chars, batches)
+    finally:
+        store.close()
+
+
+def _dropped_with(store: RunStore, docs: DataFrame, min_chars: int, batches: int) -> list[DataFrame]:
+    edges, found = _batch_edges(docs, batches), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         part = docs
         if low is not None:
@@ -129,7 +153,6 @@ def _dropped(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> list
             store.add(owned.where(F.col("owner").isNull()).select("h", F.col("doc_id").alias("owner")))
         shared = owned.where(F.col("owner").isNotNull() | F.col("many")).select("h", F.coalesce("owner", "doc_id").alias("owner"))
         found.append(written(lines.join(shared, "h").where(F.col("owner") < F.col("doc_id")).select("doc_id", "h"), "line-drops"))
-    store.close()
     return found
 
 
@@ -168,7 +191,8 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", min_chars=
 
     Null or empty text is one empty line and kept is empty. Lines under min_chars code points stay. Repeats within a
     document stay if it owns the line and go if it does not. Rows that share an id count as one document; null ids
-    count as one document after all others. Empty table: no rows. Extra columns ride along in row.
+    count as one document after all others. A text of any length is split whole, in the memory of one worker. Empty
+    table: no rows. Extra columns ride along in row.
     """
     keyed = docs.select(_order(F.col(id_col)).alias("doc_id"), as_bytes(F.col(text_col)).alias("text"))
     gone = None

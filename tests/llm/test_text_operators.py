@@ -42,6 +42,23 @@ def test_lines_odd(odd, batches, fanout):
     assert sorted(map(tuple, got), key=str) == _plain_lines([(r[0], r[1]) for r in rows()])
 
 
+def test_runs_merge_without_shuffle_or_sort(spark):
+    store = lines.RunStore(spark, fanout=2, buckets=3)
+    made = lambda low: spark.range(low, low + 50).select(F.unhex(F.md5(F.col("id").cast("string"))).alias("h"), F.col("id").alias("owner"))
+    try:
+        for k in range(3):
+            store.add(made(100 * k))
+        assert [len(x) for x in store.levels] == [1, 1] and sum(r.count() for r in store.runs()) == 150
+        names = [name for level in store.levels for name in level]
+        plan = store.merged(names)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        store.add(made(300))
+        assert [len(x) for x in store.levels] == [0, 0, 1] and store.runs()[0].count() == 200
+    finally:
+        store.close()
+    assert spark.conf.get(store.IN_ORDER) == "false"
+
+
 def test_lines_sample(sample):
     got = lines.dedup_lines(sample).select("row.doc_id", "n_lines", "n_dropped", F.col("kept").cast("string")).collect()
     assert sorted(map(tuple, got), key=str) == _plain_lines([(r["doc_id"], r["text"]) for r in sample.collect()])
@@ -270,6 +287,23 @@ def test_passages_reach_the_ends_of_every_repeat(spark):
     assert sorted(map(tuple, got)) == planted
 
 
+def test_passages_are_of_a_rows_own_text(spark):
+    one, two = (" ".join(f"{k}word{i}" for i in range(40)) for k in "ab")
+    docs = [(1, one), (2, "q " + one), (2, "some other text before it " * 3 + two + " end"), (3, two), (None, one), (None, "x " + two), (4, "éé " + one + " éé")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.doc_id].append(r.text.encode())
+    got = chunks.repeated_passages(docs).collect()
+    assert len(got) == 7
+    for r in got:
+        assert any(t[r.start : r.stop] in (one.encode(), two.encode()) or t[r.start : r.stop].strip(b" ") in (one.encode(), two.encode()) for t in texts[r.doc_id])
+    kept = {(r.doc_id, bytes(r.kept).decode()): r.n_cut for r in chunks.without_repeats(docs).select("row.doc_id", "kept", "n_cut").collect()}
+    whole = {k for k, cut in kept.items() if not cut}
+    assert len(kept) == 7 and (1, one) in whole and any(i == 2 and two in t for i, t in whole)
+    assert all(cut >= 200 for (i, t), cut in kept.items() if (i, t) not in whole) and len(whole) == 2
+
+
 def test_boundaries_of_periodic_text_do_not_follow_the_start():
     for unit in (b"lorem ", b"row row row your boat ", b"a"):
         text = unit * 200
