@@ -8,22 +8,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for sessions without a shared folder, as in tests on one machine.
-LOCAL_FALLBACK = "/tmp/checkpoints/hornlake"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors see."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
-
+from ..sources.store import shared_folder
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

@@ -1,8 +1,8 @@
 """Media columns: ISO base media containers (nested boxes) in a binary column.
 
 `wrap` stores a payload as one track of fixed-size 8-bit samples; `walk` reads any such container back: it walks the
-nested boxes, decodes the sample tables and returns codec, duration and the byte ranges of keyframes. Media data is
-never decoded. Field layouts follow ISO/IEC 14496-12.
+nested boxes, decodes the sample tables and movie fragments and returns codec, duration and the byte ranges of
+keyframes. Media data is never decoded. Field layouts follow ISO/IEC 14496-12.
 """
 
 from __future__ import annotations
@@ -90,21 +90,44 @@ def wrap(payload: bytes, sample: int = SAMPLE) -> bytes:
     return ftyp + moov(first) + _box(b"mdat", payload)
 
 
+@dataclass
+class Fragment:
+    """Samples of one run of a movie fragment: where each lies, how long it lasts, whether it is a keyframe."""
+
+    samples: list[tuple[int, int, int, bool]] = field(default_factory=list)
+
+
 @dataclass
 class Track:
     codec: str = ""
+    id: int = 0
     timescale: int = 0
-    duration: int = 0
+    stated: int = 0  # duration by the media header
     sizes: tuple[int, int, list[int]] = (0, 0, [])  # fixed size, count, sizes if not fixed
+    times: list[tuple[int, int]] = field(default_factory=list)  # (samples, duration of each)
+    shifts: list[tuple[int, int]] = field(default_factory=list)  # (samples, composition offset of each)
+    edits: list[tuple[int, int]] = field(default_factory=list)  # (duration in the movie's time, first media time; -1 for none)
     keyframes: list[int] | None = None  # None: all samples
     per_chunk: list[tuple[int, int]] = field(default_factory=list)
     chunks: list[int] = field(default_factory=list)
+    defaults: tuple[int, int, int] = (0, 0, 0)  # duration, size and flags of fragments' samples
+    fragments: list[Fragment] = field(default_factory=list)
+
+    @property
+    def duration(self) -> int:
+        """What the samples last, by the time table and the fragments; without either what the header states."""
+        counted = sum(n * each for n, each in self.times) + sum(s[2] for f in self.fragments for s in f.samples)
+        return counted if self.times or self.fragments else self.stated
+
+    @property
+    def samples(self) -> int:
+        return self.sizes[1] + sum(len(f.samples) for f in self.fragments)
 
     def size(self, i: int) -> int:
         return self.sizes[0] or self.sizes[2][i]
 
     def places(self) -> list[tuple[int, int]]:
-        """(offset, size) of each sample."""
+        """(offset, size) of each sample, those of the sample tables first."""
         found: list[tuple[int, int]] = []
         run = 0
         for c, at in enumerate(self.chunks, 1):
@@ -115,12 +138,22 @@ class Track:
                     break
                 found.append((at, self.size(len(found))))
                 at += found[-1][1]
-        return found
+        return found + [(at, size) for f in self.fragments for at, size, _, _ in f.samples]
 
     def keyframe_ranges(self) -> list[tuple[int, int]]:
         places = self.places()
-        which = range(1, len(places) + 1) if self.keyframes is None else self.keyframes
-        return [places[i - 1] for i in which if 0 < i <= len(places)]
+        own = len(places) - sum(len(f.samples) for f in self.fragments)
+        which = range(1, own + 1) if self.keyframes is None else self.keyframes
+        return [places[i - 1] for i in which if 0 < i <= own] + [(at, size) for f in self.fragments for at, size, _, key in f.samples if key]
+
+    def presentation(self) -> list[int]:
+        """When each sample of the sample tables is shown, in the track's time before edits."""
+        spread = lambda runs: (x for n, x in runs for _ in range(n))
+        found, now, shifts = [], 0, spread(self.shifts)
+        for _, each in zip(range(self.sizes[1]), spread(self.times), strict=False):
+            found.append(now + next(shifts, 0))
+            now += each
+        return found
 
 
 def boxes(data, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -152,22 +185,117 @@ def walk(data: bytes) -> tuple[list[Track], list[tuple[int, int]]]:
         if kind == b"mdat":
             media.append((at, stop))
         elif kind == b"moov":
+            _walk_movie(data, at, stop, tracks)
+        elif kind == b"moof":
             for inner, low, high in boxes(data, at, stop):
-                if inner == b"trak":
-                    tracks.append(Track())
-                    _walk_track(data, low, high, tracks[-1])
+                if inner == b"traf":
+                    _walk_fragment(data, low, high, at - 8, tracks)
     return tracks, media
 
 
+def _walk_movie(data: bytes, start: int, end: int, tracks: list[Track]) -> None:
+    defaults: dict[int, tuple[int, int, int]] = {}
+    for kind, at, stop in boxes(data, start, end):
+        if kind == b"trak":
+            tracks.append(Track())
+            _walk_track(data, at, stop, tracks[-1])
+        elif kind == b"mvex":
+            for inner, low, high in boxes(data, at, stop):
+                if inner == b"trex" and high - low >= 24:
+                    number, _, *own = struct.unpack_from(">5I", data, low + 4)
+                    defaults[number] = tuple(own)
+    for track in tracks:
+        track.defaults = defaults.get(track.id, track.defaults)
+
+
+#: Sample flags: bit of a sample that is no keyframe.
+NO_KEYFRAME = 0x10000
+
+
+def _walk_fragment(data: bytes, start: int, end: int, moof: int, tracks: list[Track]) -> None:
+    """The runs of one track fragment; offsets count from the moof box unless the header names a base."""
+    track, base, defaults, after = None, moof, (0, 0, 0), None
+    for kind, at, stop in boxes(data, start, end):
+        words = (stop - at) // 4
+        flags = int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind == b"tfhd" and words >= 2:
+            number = struct.unpack_from(">I", data, at + 4)[0]
+            track = next((t for t in tracks if t.id == number), None)
+            if track is None:
+                return
+            need = 8 + 8 * (flags & 1) + 4 * sum(bool(flags & f) for f in (0x2, 0x8, 0x10, 0x20))
+            if stop - at < need:
+                return
+            place = at + 8
+            if flags & 1:
+                base, place = struct.unpack_from(">Q", data, place)[0], place + 8
+            place += 4 * bool(flags & 0x2)
+            own = list(track.defaults)
+            for i, flag in enumerate((0x8, 0x10, 0x20)):
+                if flags & flag:
+                    own[i], place = struct.unpack_from(">I", data, place)[0], place + 4
+            defaults = tuple(own)
+        elif kind == b"trun" and words >= 2 and track is not None:
+            after = _walk_run(data, at, stop, flags, track, base, defaults, after)
+
+
+def _walk_run(data: bytes, at: int, stop: int, flags: int, track: Track, base: int, defaults: tuple[int, int, int], after: int | None) -> int | None:
+    """One run of samples; the place after its last one, from which a run without an offset goes on."""
+    n, place = struct.unpack_from(">I", data, at + 4)[0], at + 8
+    if stop - place < 4 * (bool(flags & 1) + bool(flags & 4)):
+        return after
+    offset = base if after is None else after
+    if flags & 1:
+        offset, place = base + struct.unpack_from(">i", data, place)[0], place + 4
+    first = None
+    if flags & 4:
+        first, place = struct.unpack_from(">I", data, place)[0], place + 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if fields:
+        n = min(n, (stop - place) // (4 * len(fields)))
+    elif n > len(data):
+        return after  # more samples without a field than there are bytes
+    run = Fragment()
+    for i in range(n):
+        own = dict(zip((0x100, 0x200, 0x400), defaults, strict=True))
+        if i == 0 and first is not None:
+            own[0x400] = first
+        for f in fields:
+            own[f], place = struct.unpack_from(">I", data, place)[0], place + 4
+        run.samples.append((offset, own[0x200], own[0x100], not own[0x400] & NO_KEYFRAME))
+        offset += own[0x200]
+    track.fragments.append(run)
+    return offset
+
+
+def _compact_sizes(data: bytes, at: int, stop: int) -> list[int]:
+    """The sizes of an stz2 table, of 4, 8 or 16 bits each."""
+    width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    body = data[at + 12 : stop]
+    if width == 4:
+        return [x for b in body for x in (b >> 4, b & 15)][:n]
+    if width == 8:
+        return list(body[:n])
+    return [x for (x,) in struct.iter_unpack(">H", body[: len(body) // 2 * 2])][:n] if width == 16 else []
+
+
 def _walk_track(data: bytes, start: int, end: int, track: Track) -> None:
     for kind, at, stop in boxes(data, start, end):
         room = stop - at
         if kind in CONTAINERS:
             _walk_track(data, at, stop, track)
+        elif kind == b"tkhd" and room >= 24:
+            track.id = struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0]
         elif kind == b"mdhd" and room >= 24:
-            track.timescale, track.duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
+            track.timescale, track.stated = struct.unpack_from(">IQ" if data[at] and room >= 32 else ">II", data, at + (20 if data[at] and room >= 32 else 12))
         elif kind == b"stsd" and room >= 16:
             track.codec = data[at + 12 : at + 16].decode("latin-1")
+        elif kind == b"stts" and room >= 8:
+            track.times = _counted(data, at, stop, 8, ">II")
+        elif kind == b"ctts" and room >= 8:
+            track.shifts = _counted(data, at, stop, 8, ">Ii")
+        elif kind == b"elst" and room >= 8:
+            track.edits = [x[:2] for x in (_counted(data, at, stop, 20, ">QqI") if data[at] else _counted(data, at, stop, 12, ">IiI"))]
         elif kind == b"stss" and room >= 8:
             track.keyframes = [x for (x,) in _counted(data, at, stop, 4, ">I")]
         elif kind == b"stsc" and room >= 8:
@@ -177,17 +305,36 @@ def _walk_track(data: bytes, start: int, end: int, track: Track) -> None:
             track.sizes = (fixed, n, [] if fixed else [x for (x,) in _counted(data, at + 4, stop, 4, ">I")])
             if not fixed:
                 track.sizes = (0, len(track.sizes[2]), track.sizes[2])
+        elif kind == b"stz2" and room >= 12:
+            sizes = _compact_sizes(data, at, stop)
+            track.sizes = (0, len(sizes), sizes)
         elif kind == b"stco" and room >= 8:
             track.chunks = [x for (x,) in _counted(data, at, stop, 4, ">I")]
         elif kind == b"co64" and room >= 8:
             track.chunks = [x for (x,) in _counted(data, at, stop, 8, ">Q")]
 
 
-def describe(tracks: list[Track]) -> str:
-    """codec, duration and keyframe byte ranges of each track, as text."""
-    return ";".join(
-        f"{t.codec}:{t.duration}/{t.timescale}:{t.sizes[1]}:" + ",".join(f"{at}+{size}" for at, size in t.keyframe_ranges()) for t in tracks
-    )
+TRACKS = pa.list_(
+    pa.struct([
+        ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()),
+        ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))),
+    ])
+)
+TRACKS_DDL = "array<struct<codec:string,timescale:long,duration:long,samples:long,keyframes:array<struct<start:long,size:long>>>>"
+
+
+def typed(tracks: list[Track]) -> list[dict]:
+    """What TRACKS holds of the tracks."""
+    return [
+        {"codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": t.samples, "keyframes": [{"start": a, "size": s} for a, s in t.keyframe_ranges()]}
+        for t in tracks
+    ]
+
+
+def describe(tracks: list[dict]) -> str:
+    """codec, duration and keyframe byte ranges of each track of typed(), as text."""
+    ranges = lambda t: ",".join(f"{k['start']}+{k['size']}" for k in t["keyframes"])
+    return ";".join(f"{t['codec']}:{t['duration']}/{t['timescale']}:{t['samples']}:{ranges(t)}" for t in tracks)
 
 
 def _wrap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +345,7 @@ def _wrap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tracks")}
         for data in batch["media"].to_pylist():
             tracks, media = walk(data)
             digest, size, tail = hashlib.sha256(), 0, b""
@@ -207,9 +354,11 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 digest.update(view[at:stop])
                 size += stop - at
                 tail = (tail + data[max(at, stop - TAIL) : stop])[-TAIL:]
-            for k, v in zip(out, (size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), describe(tracks)), strict=True):
+            found = typed(tracks)
+            for k, v in zip(out, (size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), describe(found), found), strict=True):
                 out[k].append(v)
-        arrays = [pa.array(v, pa.int64() if k in ("payload_bytes", "tail_crc32", "media_bytes") else pa.string()) for k, v in out.items()]
+        kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "tracks": TRACKS}
+        arrays = [pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()]
         yield pa.RecordBatch.from_arrays([batch["row"], batch["n_bytes"], *arrays], ["row", "n_bytes", *out])
 
 
@@ -226,7 +375,11 @@ def store_media(docs: DataFrame, *, text_col="text") -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """row, n_bytes and what the stored containers hold: sizes, digests, CRC of the last 32 bytes, features."""
+    """row, n_bytes and what the stored containers hold: sizes, digests, CRC of the last 32 bytes, feature as text, tracks.
+
+    tracks has codec, time scale, duration, samples and keyframe byte ranges. Broken boxes end the walk of the box that
+    holds them; what was read till then counts. Empty table: no rows.
+    """
     kind = stored.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"row {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tracks {TRACKS_DDL}"
     return stored.mapInArrow(_read_batches, schema)

@@ -164,7 +164,13 @@ def test_media_round_trip(odd):
         data = by_text[r.payload_sha256]
         padded = media.pad(data)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(padded), zlib.crc32(padded[-32:]))
-        assert r.media_sha256 == hashlib.sha256(media.wrap(padded)).hexdigest()
+        stored = media.wrap(padded)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
+        # The feature by plain arithmetic: keyframes are every eighth sample behind the place where the payload lies.
+        first, n = len(stored) - len(padded), len(padded) // 576
+        assert stored[first:] == padded and r.feature == f"raw8:{n}/25:{n}:" + ",".join(f"{first + 576 * k}+576" for k in range(0, n, 8))
+        (track,) = r.tracks
+        assert (track.codec, track.duration, track.timescale, track.samples, [k.start for k in track.keyframes]) == ("raw8", n, 25, n, [first + 576 * k for k in range(0, n, 8)])
 
 
 def test_media_tables_and_damage():
@@ -186,6 +192,39 @@ def test_media_varied_sizes_and_small_offsets():
     assert track.places() == [(100, 5), (105, 6), (200, 7)] and track.keyframe_ranges() == track.places() and track.codec == "mp4a"
 
 
+def test_media_time_tables_and_compact_sizes():
+    box, full, u32s = media._box, media._full, media._u32s
+    table = box(
+        b"stbl", full(b"stsd", u32s((1,)), box(b"avc1", bytes(8))), full(b"stts", u32s((2, 2, 10, 1, 30))), full(b"ctts", u32s((1, 3, 5))), full(b"stss", u32s((2, 1, 3))),
+        full(b"stsc", u32s((1, 1, 3, 1))), full(b"stz2", bytes([0, 0, 0, 4]), u32s((3,)), bytes([0x57, 0x90])), full(b"stco", u32s((1, 40))),
+    )
+    head = full(b"mdhd", u32s((0, 0, 90, 7)), bytes(4))
+    track = box(b"trak", full(b"tkhd", u32s((0, 0, 6)), bytes(12)), box(b"edts", full(b"elst", u32s((1, 50, 0xFFFFFFFF, 0x10000)))), box(b"mdia", head, box(b"minf", table)))
+    (t,), _ = media.walk(box(b"moov", track))
+    assert (t.id, t.duration, t.stated, t.edits, t.presentation()) == (6, 50, 7, [(50, -1)], [5, 15, 25])
+    assert t.places() == [(40, 5), (45, 7), (52, 9)] and t.keyframe_ranges() == [(40, 5), (52, 9)]
+    other = box(b"moov", track.replace(u32s((2, 2, 10, 1, 30)), u32s((2, 2, 11, 1, 30))))
+    assert media.walk(other)[0][0].duration == 52
+
+
+def test_media_fragments():
+    box, full, u32s = media._box, media._full, media._u32s
+    table = box(b"stbl", full(b"stsd", u32s((1,)), box(b"vp09", bytes(8))), full(b"stts", u32s((0,))), full(b"stsc", u32s((0,))), full(b"stsz", u32s((0, 0))), full(b"stco", u32s((0,))))
+    track = box(b"trak", full(b"tkhd", u32s((0, 0, 2)), bytes(12)), box(b"mdia", full(b"mdhd", u32s((0, 0, 10, 0)), bytes(4)), box(b"minf", table)))
+    start = box(b"moov", track, box(b"mvex", full(b"trex", u32s((2, 1, 5, 100, media.NO_KEYFRAME)))))
+    one = full(b"trun", u32s((2,)) + u32s((64, 0)), flags=0x1 | 0x4)  # two samples of defaults, the first a keyframe
+    two = full(b"trun", u32s((2, 7, 30, 0, 8, 40, media.NO_KEYFRAME)), flags=0x100 | 0x200 | 0x400)  # goes on behind
+    moof = box(b"moof", full(b"mfhd", u32s((1,))), box(b"traf", full(b"tfhd", u32s((2,)), flags=0x20000), one, two))
+    unknown = box(b"moof", box(b"traf", full(b"tfhd", u32s((9,))), one))
+    data = start + moof + box(b"mdat", bytes(270)) + unknown
+    (t,), ((at, stop),) = media.walk(data)
+    first = len(start) + 64
+    assert t.places() == [(first, 100), (first + 100, 100), (first + 200, 30), (first + 230, 40)]
+    assert t.keyframe_ranges() == [(first, 100), (first + 200, 30)] and (t.duration, t.samples, stop - at) == (5 + 5 + 7 + 8, 4, 270)
+    for cut in range(len(data)):
+        media.walk(data[:cut])  # must not raise
+
+
 def test_automaton_knows_exactly_the_substrings():
     text = [0, 1, 0, 0, 1, 2, 0, 1]
     table = langid.automaton(text, 4)
