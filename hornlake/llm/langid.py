@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed greedily into
-the longest matches with each automaton; the language that needs the fewest phrases per character wins. Automata know
+the longest matches with each automaton; the language that needs the fewest phrases per character, each weighed by the
+logarithm of the sample's length, wins. Automata know
 every character of the samples and hold existing transitions only, in rows displaced into each other's gaps. A worker
-parses all texts of a batch together, a character of each at a time; long texts are parsed whole, in windows that run
-side by side.
+parses all texts of a batch together, a character of each at a time; long texts are parsed in windows that run side by
+side, whose phrases are then put right across their borders.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Bounds of the training sample: documents a language, characters of each, and characters of all languages. Beyond the
-#: last, each language has fewer documents, one at least.
+#: Bounds of the training sample: whole texts a language, the characters after which no further text is taken, and those
+#: of all languages together. Beyond the last, each language has fewer texts, one at least.
 SAMPLE_DOCS = 100
-SAMPLE_CHARS = 400
-SAMPLE_TOTAL = 32 * SAMPLE_DOCS * SAMPLE_CHARS
-#: Characters of a window. A parse starts anew in each, which costs every language a phrase at most.
+SAMPLE_CHARS = 100_000
+SAMPLE_TOTAL = 32 * SAMPLE_CHARS
+#: Characters of texts that are taken first.
+HANDY = (400, 1600)
+#: Characters of a window, several of which are parsed side by side.
 WINDOW = 512
 #: Texts parsed together.
 SLICE = 500
@@ -126,9 +129,15 @@ class Model:
     classes: np.ndarray  # the last is that of all code points beyond
     table: Automaton
     roots: np.ndarray
+    weights: np.ndarray  # bits that name a place in a language's sample, which a phrase costs
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases by text and language, characters by text)."""
+        """(phrases by text and language, characters by text): a greedy parse of the whole text from its start.
+
+        Windows of a text are parsed side by side, each as if a phrase began with it. Then those that a phrase reaches
+        into are parsed again from the state it brings, till they are in the state of the first parse, as soon happens;
+        a window that never is changes what it brings to the next one, which is parsed again in turn.
+        """
         folded = [_fold(t) for t in texts]
         sizes = np.array([len(t) for t in folded], np.int64)
         found = np.zeros((len(texts), len(self.langs)), np.int64)
@@ -141,28 +150,64 @@ class Model:
         first = np.concatenate([np.arange(s, e, WINDOW) for s, e in zip(ends - sizes, ends, strict=True)])
         span = np.minimum(WINDOW, ends[owner] - first)
         order = np.argsort(-span, kind="stable")  # windows that end drop off the tail
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # The window before in the same text, as a place in order; a text's first window has none.
+        before = np.where(np.concatenate([[False], owner[1:] == owner[:-1]]), np.concatenate([[0], rank[:-1]]), -1)[order]
+        closing = np.concatenate([owner[1:] != owner[:-1], [True]])[order]
         first, span, owner = first[order], span[order], owner[order]
-        live = np.searchsorted(-span, -np.arange(WINDOW), side="left")  # windows longer than i
-        base, reached, check = self.table.base, self.table.to, self.table.check
+        every = np.arange(len(order))
         for k, root in enumerate(self.roots.tolist()):
-            state = np.full(len(first), root, np.int64)
-            count = np.zeros(len(first), np.int64)
-            for i in range(WINDOW):
-                n = int(live[i])
-                if not n:
+            states = np.empty((WINDOW, len(order)), np.int32)
+            counts = np.zeros((WINDOW, len(order)), np.int8)
+            brought = np.full(len(order), root, np.int64)
+            self._parse(root, codes, first, span, None, brought, states, counts)
+            while True:
+                last = states[span - 1, every].astype(np.int64)
+                now = np.where(before >= 0, last[before], root)
+                again = np.flatnonzero(now != brought)
+                if not len(again):
                     break
-                c = codes[first[:n] + i]
-                at = base[state[:n]] + c
-                to = reached[at]
-                broken = check[at] != state[:n]
-                if broken.any():
-                    count[:n] += broken
-                    again = base[root] + c[broken]
-                    to[broken] = np.where(check[again] == root, reached[again], root)
-                state[:n] = to
-            np.add.at(found[:, k], owner, count + (state != root))
+                brought = now
+                self._parse(root, codes, first, span, again, now, states, counts)
+            np.add.at(found[:, k], owner, counts.sum(axis=0, dtype=np.int64) + (closing & (last != root)))
         return found, sizes
 
+    def _parse(self, root: int, codes, first, span, lanes, start, states, counts) -> None:
+        """Parse all windows, longest first, or those of lanes till they are in the state they had there, from start.
+
+        states gets the state after each character, counts the phrases that end there. A character that the sample
+        lacks counts as two: one more to name it.
+        """
+        base, reached, check = self.table.base, self.table.to, self.table.check
+        held, state = slice(None), start if lanes is None else start[lanes]
+        live = np.searchsorted(-span, -np.arange(WINDOW), side="left")  # windows longer than i
+        for i in range(WINDOW):
+            if lanes is None:
+                n = int(live[i])
+                held, state = slice(n), state[:n]
+            else:
+                on = span[lanes] > i
+                lanes, state = lanes[on], state[on]
+                held, n = lanes, len(lanes)
+            if not n:
+                return
+            c = codes[first[held] + i]
+            at = base[state] + c
+            to = reached[at]
+            broken = check[at] != state
+            ended = np.zeros(n, np.int8)
+            if broken.any():
+                from_root = base[root] + c[broken]
+                known = check[from_root] == root
+                to[broken] = np.where(known, reached[from_root], root)
+                ended[broken] = (state[broken] != root).astype(np.int8) + 2 * ~known
+            if lanes is not None:
+                apart = states[i, held] != to
+            states[i, held], counts[i, held], state = to, ended, to
+            if lanes is not None:
+                lanes, state = lanes[apart], to[apart]
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, characters a phrase) of each text; the score is the winner's lead over the next."""
         known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
@@ -170,12 +215,12 @@ class Model:
         if not self.langs or not known:
             return out
         found, sizes = self.phrases([texts[i] for i in known])
-        rate = found / np.maximum(sizes, 1)[:, None]
+        rate = found * self.weights / np.maximum(sizes, 1)[:, None]
         best = rate.argmin(axis=1)
         for i, row, b, size in zip(known, rate, best.tolist(), sizes.tolist(), strict=True):
             others = np.delete(row, b)
             lead = 1.0 - row[b] / others.min() if len(others) and others.min() > 0 else 1.0 if not len(others) else 0.0
-            out[i] = (self.langs[b], min(1.0, max(0.0, float(lead))), float(size / max(1, round(row[b] * size))))
+            out[i] = (self.langs[b], min(1.0, max(0.0, float(lead))), float(size / max(1, round(row[b] * size / self.weights[b]))))
         return out
 
 
@@ -191,6 +236,7 @@ def build(samples: dict[str, list[str]]) -> Model:
         classes[ord(c)] = i
     width = len(known) + 2
     parts, roots, states, slots = [], [], 0, 0
+    weights = np.log2([2 + sum(map(len, folded[x])) for x in langs]) if langs else np.zeros(0)
     for x in langs:
         own = automaton([k for t in folded[x] for k in [*(int(classes[ord(c)]) for c in t), width - 1]], width)
         parts.append((own.base + slots, np.where(own.to < 0, -1, own.to + states), np.where(own.check < 0, -1, own.check + states)))
@@ -198,26 +244,40 @@ def build(samples: dict[str, list[str]]) -> Model:
         states += len(own.base)
         slots += len(own.to)
     table = Automaton(*(np.concatenate([p[i] for p in parts] or [np.zeros(0)]).astype(np.int32) for i in range(3)))
-    return Model(langs, classes, table, np.array(roots, np.int64))
+    return Model(langs, classes, table, np.array(roots, np.int64), weights)
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang") -> Model:
     """A model of the labelled rows outside the held-out fold.
 
-    Of each language it takes the SAMPLE_DOCS rows of least id hash, fewer if there are over 32 languages, and of each
-    row SAMPLE_CHARS characters from the middle of its text. This bounds what the driver and the workers hold.
+    Of each language it takes whole texts, those of HANDY sizes first, in order of a hash of id and text: SAMPLE_DOCS at
+    most, that have SAMPLE_CHARS characters together at most; fewer if there are over 32 languages. A text that no longer
+    fits is passed over, and if none fits the shortest is taken. This bounds what the driver and the workers hold. Null ids hash like any other; equal rows count once. Empty table, or no labelled row:
+    a model without languages, which determines nothing.
     """
-    text = F.col(text_col)
-    middle = F.greatest(F.lit(1), ((F.length(text) - SAMPLE_CHARS) / 2).cast("int"))
+    text = F.col(text_col).cast("string")
     rows = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(F.col(id_col))).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.substr(text, middle, F.lit(SAMPLE_CHARS)).alias("text")
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), text).alias("h"), F.length(text).alias("size"), text.alias("text")
     )
-    langs = rows.select("lang").distinct().count()
-    most = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // (SAMPLE_CHARS * max(1, langs))))
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # a rank limit, applied before the shuffle too
-    picked = rows.withColumn("place", least).where(F.col("place") <= most)
+    handy = F.when(F.col("size").between(*HANDY), 0).otherwise(1)  # many such texts say more of a language than a few long ones
+    least = F.row_number().over(Window.partitionBy("lang").orderBy(handy, "h"))  # a rank limit, applied before the shuffle too
+    ranked = rows.select("lang", "h", "size").dropDuplicates(["lang", "h"]).withColumn("place", least).where(F.col("place") <= SAMPLE_DOCS)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for r in ranked.orderBy("lang", "place").collect():  # SAMPLE_DOCS short rows a language
+        places.setdefault(r["lang"], []).append((r["h"], r["size"]))
+    most = min(SAMPLE_CHARS, SAMPLE_TOTAL // max(1, len(places)))
+    wanted = []
+    for lang, held in places.items():
+        total, own = 0, []
+        for h, size in held:
+            if total + size <= most:
+                own.append((lang, h))
+                total += size
+        wanted += own or [(lang, min(held, key=lambda x: x[1])[0])]
+    picked = docs.sparkSession.createDataFrame(wanted, "lang string, h long")
     samples: dict[str, list[str]] = {}
-    for lang, text in sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect()):
+    texts = rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")  # texts that the bounds picked
+    for lang, text in sorted((r["lang"], r["text"]) for r in texts.collect()):
         samples.setdefault(lang, []).append(text)
     return build(samples)
 
