@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder
 
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
