@@ -20,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
 
 #: Documents and characters of a part, whichever is reached first.
-PART_DOCS = 2000
-PART_CHARS = 4_000_000
+PART_DOCS = 1000
+PART_CHARS = 2_000_000
 #: Bytes of an Arrow batch on its way to a worker; a row may be larger.
 BATCH_BYTES = 8 << 20
 #: Words that are broadcast, those in most parts; and their longest.
@@ -272,6 +273,18 @@ def _blocks(plain):
     return run
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def _found(words: pa.Array, shared: pa.Array, hashes: np.ndarray, order: np.ndarray) -> pa.Array:
+    """The place of each word in shared, null for none, by its place among the sorted hashes: no table is built for each part."""
+    if not len(shared):
+        return pa.nulls(len(words), pa.int32())
+    at = order[np.minimum(np.searchsorted(hashes, _hashes(words)), len(hashes) - 1)].astype(np.int32)
+    return pc.if_else(pc.equal(shared.take(pa.array(at)), words), pa.array(at), pa.scalar(None, pa.int32()))
+
+
 def _known(shared, plain):
     """Rows of parts with what shared words and pieces give for theirs, and the rest as numbers to be folded."""
 
@@ -279,12 +292,18 @@ def _known(shared, plain):
         table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), plain.value
         word, ids, data = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids", "bytes"))
         pieces, numbers = codec.whole
-        word, data = pa.concat_arrays([word, pieces]), pa.concat_arrays([data, pieces])
-        ids = pa.concat_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), numbers).cast(ids.type)])
+        hashes = _hashes(word)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        single = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), numbers).cast(ids.type)
         text = codec.table.field("text").flatten()
         for part in slices(batches, 1):
             words = part["words"].flatten()
-            at = pc.index_in(words, value_set=word)
+            own, shared_at = pc.index_in(words, value_set=pieces), _found(words, word, hashes, order)
+            at = pc.coalesce(own, shared_at)
+            is_piece = pc.is_valid(own)
+            known = pc.if_else(is_piece, single.take(own), ids.take(shared_at))
+            known_bytes = pc.if_else(is_piece, pieces.take(own), data.take(shared_at))
             sizes = pc.binary_length(words)
             odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
             rare = pc.and_(pc.is_null(at), pc.invert(odd))
@@ -293,9 +312,10 @@ def _known(shared, plain):
             whole = [0, len(words)]
             rare_at, rare_words = pc.indices_nonzero(rare).cast(pa.int32()), codec.numbers(words.filter(rare))
             yield pa.RecordBatch.from_arrays(
-                [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, ids.take(at)), pa.ListArray.from_arrays(whole, data.take(at)), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
+                [part["rows"], part["counts"], part["codes"], pa.ListArray.from_arrays(whole, known), pa.ListArray.from_arrays(whole, known_bytes), pa.array([longs], pa.list_(LONGS)), pa.ListArray.from_arrays([0, len(rare_at)], rare_at), pa.ListArray.from_arrays([0, len(rare_words)], rare_words), codec.table],
                 ["rows", "counts", "codes", "known", "known_bytes", "longs", "rare_at", "rare", "table"],
             )
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -337,6 +357,7 @@ def _assemble(with_ids: bool):
                 each = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.take(pa.array(some)).flatten()) if with_ids else pa.nulls(len(own), pa.list_(pa.int32()))
                 arrays = [rows.slice(a, 200), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), decoded, each]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", "n_tokens", "ids_sha256", "decoded", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
