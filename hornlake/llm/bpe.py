@@ -213,20 +213,28 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+class _Places(dict):
+    """The place of each word, given out in order of first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 def _cut(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = compiled(pattern).findall
-        rows, counts, codes, places, chars = [], [], [], {}, 0
+        rows, counts, codes, places, chars = [], [], [], _Places(), 0
         for batch in slices(batches):
             for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = [places.setdefault(word, len(places)) for word in find(text or "")]
+                own = find(text or "")
                 rows.append(row)
                 counts.append(len(own))
-                codes.append(np.array(own, np.int32))
+                codes.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
                 chars += len(own) and len(text)
                 if len(rows) >= PART_DOCS or chars >= PART_CHARS:
                     yield _part(batch["row"].type, rows, counts, codes, places)
-                    rows, counts, codes, places, chars = [], [], [], {}, 0
+                    rows, counts, codes, places, chars = [], [], [], _Places(), 0
             kind = batch["row"].type
         if rows:
             yield _part(kind, rows, counts, codes, places)
