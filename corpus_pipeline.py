@@ -44,7 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are one group. Empty table: no rows. All columns stay.
     """
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
-    found = written(simhash.similar_documents(keyed, key_col="__row"), "pipeline-groups")
+    found = simhash.similar_documents(keyed, key_col="__row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     first = found.groupBy("group").agg(least.alias("first")).select("group", F.col("first.key").alias("stays"))
     gone = found.join(first, "group").where(F.col("key") != F.col("stays")).select(F.col("key").alias("__row"))

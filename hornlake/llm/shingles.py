@@ -4,7 +4,11 @@ prefix filter that finds the pairs that fingerprints miss.
 The distinct shingles of a text are ordered by how often a sample holds them, rarest first, then by hash. Two sets of
 similarity s or more share a shingle within the first n - ceil(s n) + 1 of each, whatever the order, so filing sets
 under these finds every pair. In each bucket neighbours by size are verified first; then only sets that are still in
-different components are compared with each other. Both verify on the texts themselves.
+different components are compared with each other, large buckets tile by tile.
+
+A sketch of a set holds, for each of BITS places, whether an odd number of its shingles fall there. Two sketches differ
+in no more bits than the sets differ in shingles, and sets of similarity s differ in at most (1 - s) / (1 + s) of both
+sizes. So pairs whose sketches differ in more are ruled out for certain; all others are verified on the texts.
 """
 
 from __future__ import annotations
@@ -19,13 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import drop_written, slices, written
 from .components import components
 
 SEED = 42
 #: Texts whose shingles are counted for the order, and the most shingles that the order tells apart by count.
 SAMPLE = 20_000
 MOST_COUNTED = 1 << 19
+#: Bits of a sketch; more rule out more pairs of long texts, and cost as much in each row of an open bucket.
+BITS = 512
+#: Rows of a bucket that one task compares with each other.
+BLOCK = 2048
+#: Pairs that a task gives out at once.
+PAIRS = 10_000
 #: Room for rounding in products with the similarity.
 SLACK = 1e-9
 
@@ -52,6 +62,22 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - SLACK
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """For each place whether an odd number of the distinct hashes fall there."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _sketches(each: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(each), np.uint64).reshape(-1, BITS // 64)
+
+
+def possible(a: np.ndarray, size_a, b: np.ndarray, size_b, similarity: float) -> np.ndarray:
+    """Whether sketches and sizes leave it open that sets are similar; false is certain."""
+    apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return apart * (1 + similarity) <= (1 - similarity) * (size_a + size_b) + SLACK * (size_a + size_b)
+
+
 def _counted(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -72,7 +98,7 @@ def _order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by_hash], top["count"].to_numpy().astype(np.int64)[by_hash]
 
 
-FILED = "key long, doc_id long, text binary, fp long, node long, size int, prefix array<long>"
+FILED = "key long, doc_id long, text binary, fp long, node long, size int, sketch binary, prefix array<long>"
 
 
 def _filed(shared, words: int, similarity: float, fingerprint):
@@ -81,7 +107,7 @@ def _filed(shared, words: int, similarity: float, fingerprint):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
         for part in slices(batches):
-            prints, nodes, sizes, prefixes = [], [], [], []
+            prints, nodes, sizes, sketches, prefixes = [], [], [], [], []
             for text in part["text"].to_pylist():
                 each = shingle_hashes(text, words)
                 own = np.unique(each)
@@ -94,9 +120,10 @@ def _filed(shared, words: int, similarity: float, fingerprint):
                 prints.append(fingerprint(each))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(n)
+                sketches.append(sketch(own))
                 prefixes.append(own[np.lexsort((own, often))[:most]].view(np.int64))
             digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
-            arrays = [*digests, pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            arrays = [*digests, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part["key"], part["doc_id"], part["text"], *arrays], [x.split()[0] for x in FILED.split(", ")])
 
     return run
@@ -133,27 +160,62 @@ def _neighbours(similarity: float):
 
 
 def _across(similarity: float):
-    """a, b: pairs of a bucket in different components whose sizes allow a link. Rows come by shingle and size."""
+    """a, b: possible pairs of a tile in different components. Rows come by shingle, tile (low, high), size and node.
+
+    A tile holds two blocks of a bucket, whose rows are compared across, or one, whose rows are compared with each other.
+    """
 
-    def pairs(bucket: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
-        size, node, root = (np.array(x, np.int64) for x in zip(*bucket, strict=True))
-        for i in range(len(bucket) - 1):
+    def pairs(tile: list[tuple], apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size, node, root, block = (np.array(x, np.int64) for x in zip(*(row[:4] for row in tile), strict=True))
+        sketches = _sketches([row[4] for row in tile])
+        for i in range(len(tile) - 1):
             end = int(np.searchsorted(size, (size[i] + SLACK) / similarity, side="right"))
-            other = node[i + 1 : end][root[i + 1 : end] != root[i]]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["a", "b"])
+            fits = root[i + 1 : end] != root[i]
+            if apart:
+                fits &= block[i + 1 : end] != block[i]
+            at = i + 1 + np.flatnonzero(fits)
+            at = at[possible(sketches[at], size[at], sketches[i], size[i], similarity)]
+            if len(at):
+                yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        place, tile = None, []
+        for batch in batches:
+            for shingle, low, high, *row in zip(*(batch[c].to_pylist() for c in ("shingle", "low", "high", "size", "node", "root", "block", "sketch")), strict=True):
+                if (shingle, low, high) != place:
+                    if len(tile) > 1:
+                        yield from pairs(tile, place[1] < place[2])
+                    place, tile = (shingle, low, high), []
+                tile.append(tuple(row))
+        if len(tile) > 1:
+            yield from pairs(tile, place[1] < place[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, bucket = None, []
-        for batch in batches:
-            for shingle, *row in zip(*(batch[c].to_pylist() for c in ("shingle", "size", "node", "root")), strict=True):
-                if shingle != place:
-                    if len(bucket) > 1:
-                        yield from pairs(bucket)
-                    place, bucket = shingle, []
-                bucket.append(tuple(row))
-        if len(bucket) > 1:
-            yield from pairs(bucket)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["a", "b"])
+
+        held, rows = [], 0
+        for found in tiles(batches):
+            held.append(found)
+            rows += len(found[0])
+            if rows >= PAIRS:
+                yield out()
+                held, rows = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _possible(similarity: float):
+    """a, b: those pairs whose sketches leave it open that they are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, PAIRS):
+            a, b = (_sketches(part[f"sketch_{x}"].to_pylist()) for x in "ab")
+            size_a, size_b = (part[f"size_{x}"].to_numpy().astype(np.int64) for x in "ab")
+            kept = part.filter(pa.array(possible(a, size_a, b, size_b, similarity)))
+            yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
 
     return run
 
@@ -174,27 +236,56 @@ def _verified(words: int, similarity: float):
     return run
 
 
+def _sided(pairs: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both nodes, as column_a and column_b."""
+    for x in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs
+
+
 def _links(pairs: DataFrame, filed: DataFrame, words: int, similarity: float) -> DataFrame:
     """(src, dst): those pairs (a, b) whose texts are similar."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = written(filed.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingle-texts")
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "text_a", "b", "text_b")
-    return written(both.mapInArrow(_verified(words, similarity), "src long, dst long"), "shingle-links")
+    both = _sided(pairs, texts, ["text"]).select("a", "text_a", "b", "text_b")
+    found = written(both.mapInArrow(_verified(words, similarity), "src long, dst long"), "shingle-links")
+    drop_written(texts)
+    return found
+
+
+def _tiled(rows: DataFrame, buckets: DataFrame, block: int) -> DataFrame:
+    """rows of buckets (shingle, rows) with the tiles they go to: all pairs of a bucket's blocks of about `block` rows."""
+    blocks = F.ceil(F.col("rows") / block).cast("int")
+    dealt = rows.join(buckets.select("shingle", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "size", "node", "root", "block")
+
 
+def grouped(filed: DataFrame, candidates: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """key, doc_id, group for filed: candidates (a, b) by node and neighbours are verified first, then what is left between groups.
 
-def grouped(filed: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key, doc_id, group for filed: candidates (a, b) by node and neighbours are verified first, then what is left between groups."""
-    dealt = filed.select(F.explode("prefix").alias("shingle"), "size", "node").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+    The result is a written table; filed and all tables between are deleted.
+    """
+    nodes = written(filed.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "shingle-nodes")
+    place = ["shingle", "size", "node"]
+    dealt = filed.select(F.explode("prefix").alias("shingle"), "size", "node").repartition("shingle").sortWithinPartitions(*place)
     near = written(dealt.mapInArrow(_neighbours(similarity), "shingle long, node long, size int, before long"), "shingle-near")
     pairs = near.where("before IS NOT NULL").select(F.col("node").alias("a"), F.col("before").alias("b")).unionByName(candidates.where("a <> b"))
-    first = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-pairs")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = written(_sided(pairs, nodes, ["size", "sketch"]).mapInArrow(_possible(similarity), "a long, b long"), "shingle-pairs")
     links = _links(first, filed, words, similarity)
-    tree = components(links).withColumnRenamed("node", "member")
-    rooted = near.join(tree, F.col("node") == F.col("member"), "left").select("shingle", "size", "node", F.coalesce("root", "node").alias("root"))
-    open_ = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    left = rooted.join(open_, "shingle").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    second = written(left.mapInArrow(_across(similarity), "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "shingle-pairs")
-    tree = written(components(links.unionByName(_links(second, filed, words, similarity))), "shingle-tree")
-    labels = filed.select("key", "doc_id", "node").join(tree, "node", "left")
-    return labels.select("key", "doc_id", F.coalesce("root", "node").alias("group"))
+    tree = written(components(links).withColumnRenamed("node", "member"), "shingle-tree")
+    rooted = near.join(tree, F.col("node") == F.col("member"), "left").select(*place, F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "shingle-rooted")
+    buckets = rooted.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
+    tiled = _tiled(rooted, buckets.where("least < most"), block).join(nodes.select("node", "sketch"), "node")
+    tiled = tiled.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "size", "node")
+    across = tiled.mapInArrow(_across(similarity), "a long, b long").distinct()
+    second = written(across.join(first, ["a", "b"], "left_anti"), "shingle-pairs")
+    more = _links(second, filed, words, similarity)
+    whole = written(components(links.unionByName(more)), "shingle-tree")
+    labels = filed.select("key", "doc_id", "node").join(whole, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("group"))
+    labels = written(labels, "shingle-groups")
+    for done in (filed, nodes, near, first, links, tree, rooted, second, more, whole):
+        drop_written(done)
+    return labels

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as completion
-from .common import as_bytes, slices, written
+from .common import as_bytes, drop_written, slices, written
 from .components import Forest, components
 from .shingles import SEED, shingle_hashes
 
@@ -303,4 +303,7 @@ def similar_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", key_
     near = links(heads.select("fp"), radius=radius, block=block)
     side = lambda fp, node: heads.select(F.col("fp").alias(fp), F.col("head").alias(node))
     across = near.join(side("src", "a"), "src").join(side("dst", "b"), "dst").select("a", "b")
-    return completion.grouped(filed, alike.unionByName(across), words, similarity)
+    found = completion.grouped(filed, alike.unionByName(across), words, similarity, block)
+    for done in (prints, heads):
+        drop_written(done)
+    return found

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -295,15 +296,45 @@ def test_shingles_find_all_similar_pairs(spark, odd, sample, none):
         for _ in range(rng.randrange(5)):
             words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
         made.append((i, " ".join(words)))
-    for docs in (odd, sample, spark.createDataFrame(made, "doc_id long, text string")):
+    made = spark.createDataFrame(made, "doc_id long, text string")
+    for docs, more in ((odd, {}), (sample, {}), (made, {}), (made, {"block": 7})):
         keyed = [(k, r["doc_id"], r["text"]) for k, r in enumerate(docs.collect())]
         df = spark.createDataFrame(keyed, "key long, doc_id long, text string").repartition(3)
-        got = {r.key: r.group for r in simhash.similar_documents(df, key_col="key").collect()}
+        got = {r.key: r.group for r in simhash.similar_documents(df, key_col="key", **more).collect()}
         want = _jaccard_groups([{"text": t} for _, _, t in keyed])
         assert len(got) == len(want) and len({(got[k], w) for k, w in enumerate(want)}) == len(set(got.values())) == len(set(want))
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_sketches_rule_out_no_similar_pair():
+    from hornlake.llm import shingles
+
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 40, 300, 5000):
+        for share in (0.75, 0.8, 0.81, 0.9, 1.0):
+            both = rng.integers(0, 2**63, n).astype(np.uint64)
+            apart = rng.integers(0, 2**63, round(n * (1 / share - 1))).astype(np.uint64)
+            cut = rng.integers(0, len(apart) + 1)
+            a, b = np.unique(np.append(both, apart[:cut])), np.unique(np.append(both, apart[cut:]))
+            ends = [shingles._sketches([shingles.sketch(x)]) for x in (a, b)]
+            open_ = shingles.possible(ends[0], len(a), ends[1], len(b), 0.8)[0]
+            assert open_ or not shingles.similar(a, b, 0.8)
+    far = [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not shingles.possible(*[x for f in far for x in (shingles._sketches([shingles.sketch(f)]), 300)], 0.8)[0]
+
+
+def test_tiles_hold_every_pair_of_a_bucket_once(spark):
+    from hornlake.llm import shingles
+
+    rows = spark.range(50).selectExpr("7L shingle", "1 size", "id node", "id root")
+    tiled = shingles._tiled(rows, spark.createDataFrame([(7, 50)], "shingle long, rows long"), 8).collect()
+    seen = Counter()
+    for at in {(r.low, r.high) for r in tiled}:
+        own = sorted((r.node, r.block) for r in tiled if (r.low, r.high) == at)
+        seen.update((a, b) for i, (a, x) in enumerate(own) for b, y in own[i + 1 :] if at[0] == at[1] or x != y)
+    assert len(seen) == 50 * 49 // 2 and set(seen.values()) == {1}
+
+
 def test_pipeline_drops_similar_documents(spark):
     import corpus_pipeline
 
