@@ -6,7 +6,7 @@ similarity s or more share a shingle within the first n - ceil(s n) + 1 of each,
 under these finds every pair. In each bucket neighbours by size are verified first; then only sets that are still in
 different components are compared with each other, large buckets tile by tile.
 
-A sketch of a set holds, for each of BITS places, whether an odd number of its shingles fall there. Two sketches differ
+A sketch of a set holds, for each of BITS places (in its wide form as many as the set has shingles, or more), whether an odd number of its shingles fall there. Two sketches differ
 in no more bits than the sets differ in shingles, and sets of similarity s differ in at most (1 - s) / (1 + s) of both
 sizes. So pairs whose sketches differ in more are ruled out for certain; all others are verified on the texts.
 """
@@ -30,7 +30,7 @@ SEED = 42
 #: Texts whose shingles are counted for the order, and the most shingles that the order tells apart by count.
 SAMPLE = 20_000
 MOST_COUNTED = 1 << 19
-#: Bits of a sketch; more rule out more pairs of long texts, and cost as much in each row of an open bucket.
+#: Bits of the sketches in the rows of open buckets, where more would cost as much a row; wide ones are powers of two from here.
 BITS = 512
 #: Rows of a bucket that one task compares with each other.
 BLOCK = 2048
@@ -63,13 +63,24 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """For each place whether an odd number of the distinct hashes fall there."""
-    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """The wide sketch: for each place whether an odd number of the distinct hashes fall there."""
+    places = max(BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own % np.uint64(places)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(wide: bytes, width: int = BITS // 8) -> bytes:
+    """The sketch of the same set in `width` bytes."""
+    found = np.frombuffer(wide, np.uint8)
+    while len(found) > width:
+        half = len(found) // 2
+        found = found[:half] ^ found[half:]
+    return found.tobytes()
+
+
 def _sketches(each: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(each), np.uint64).reshape(-1, BITS // 64)
+    """Sketches of one width, a row each."""
+    return np.frombuffer(b"".join(each), np.uint64).reshape(len(each), -1) if each else np.zeros((0, 1), np.uint64)
 
 
 def possible(a: np.ndarray, size_a, b: np.ndarray, size_b, similarity: float) -> np.ndarray:
@@ -98,7 +109,7 @@ def _order(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[by_hash], top["count"].to_numpy().astype(np.int64)[by_hash]
 
 
-FILED = "key long, doc_id long, text binary, fp long, node long, size int, sketch binary, prefix array<long>"
+FILED = "key long, doc_id long, text binary, fp long, node long, size int, wide binary, narrow binary, prefix array<long>"
 
 
 def _filed(shared, words: int, similarity: float, fingerprint):
@@ -107,7 +118,7 @@ def _filed(shared, words: int, similarity: float, fingerprint):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
         for part in slices(batches):
-            prints, nodes, sizes, sketches, prefixes = [], [], [], [], []
+            prints, nodes, sizes, wide, prefixes = [], [], [], [], []
             for text in part["text"].to_pylist():
                 each = shingle_hashes(text, words)
                 own = np.unique(each)
@@ -120,10 +131,10 @@ def _filed(shared, words: int, similarity: float, fingerprint):
                 prints.append(fingerprint(each))
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 sizes.append(n)
-                sketches.append(sketch(own))
+                wide.append(sketch(own))
                 prefixes.append(own[np.lexsort((own, often))[:most]].view(np.int64))
             digests = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
-            arrays = [*digests, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            arrays = [*digests, pa.array(sizes, pa.int32()), *[pa.array(x, pa.binary()) for x in (wide, [folded(y) for y in wide])], pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part["key"], part["doc_id"], part["text"], *arrays], [x.split()[0] for x in FILED.split(", ")])
 
     return run
@@ -181,7 +192,7 @@ def _across(similarity: float):
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         place, tile = None, []
         for batch in batches:
-            for shingle, low, high, *row in zip(*(batch[c].to_pylist() for c in ("shingle", "low", "high", "size", "node", "root", "block", "sketch")), strict=True):
+            for shingle, low, high, *row in zip(*(batch[c].to_pylist() for c in ("shingle", "low", "high", "size", "node", "root", "block", "narrow")), strict=True):
                 if (shingle, low, high) != place:
                     if len(tile) > 1:
                         yield from pairs(tile, place[1] < place[2])
@@ -208,13 +219,19 @@ def _across(similarity: float):
 
 
 def _possible(similarity: float):
-    """a, b: those pairs whose sketches leave it open that they are similar."""
+    """a, b: those pairs whose wide sketches, folded to the lesser width, leave it open that they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, PAIRS):
-            a, b = (_sketches(part[f"sketch_{x}"].to_pylist()) for x in "ab")
-            size_a, size_b = (part[f"size_{x}"].to_numpy().astype(np.int64) for x in "ab")
-            kept = part.filter(pa.array(possible(a, size_a, b, size_b, similarity)))
+        for part in slices(batches):
+            ends = [part[f"wide_{x}"].to_pylist() for x in "ab"]
+            sizes = [part[f"size_{x}"].to_numpy().astype(np.int64) for x in "ab"]
+            widths = np.array([min(map(len, pair)) for pair in zip(*ends, strict=True)])
+            keep = np.zeros(len(widths), bool)
+            for width in np.unique(widths):
+                at = np.flatnonzero(widths == width)
+                a, b = (_sketches([folded(own[i], width) for i in at]) for own in ends)
+                keep[at] = possible(a, sizes[0][at], b, sizes[1][at], similarity)
+            kept = part.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], ["a", "b"])
 
     return run
@@ -266,22 +283,23 @@ def grouped(filed: DataFrame, candidates: DataFrame, words: int, similarity: flo
 
     The result is a written table; filed and all tables between are deleted.
     """
-    nodes = written(filed.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "shingle-nodes")
+    nodes = written(filed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "wide", "narrow")]), "shingle-nodes")
     place = ["shingle", "size", "node"]
     dealt = filed.select(F.explode("prefix").alias("shingle"), "size", "node").repartition("shingle").sortWithinPartitions(*place)
     near = written(dealt.mapInArrow(_neighbours(similarity), "shingle long, node long, size int, before long"), "shingle-near")
     pairs = near.where("before IS NOT NULL").select(F.col("node").alias("a"), F.col("before").alias("b")).unionByName(candidates.where("a <> b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = written(_sided(pairs, nodes, ["size", "sketch"]).mapInArrow(_possible(similarity), "a long, b long"), "shingle-pairs")
+    open_ = lambda found: _sided(found, nodes, ["size", "wide"]).mapInArrow(_possible(similarity), "a long, b long")
+    first = written(open_(pairs), "shingle-pairs")
     links = _links(first, filed, words, similarity)
     tree = written(components(links).withColumnRenamed("node", "member"), "shingle-tree")
     rooted = near.join(tree, F.col("node") == F.col("member"), "left").select(*place, F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "shingle-rooted")
     buckets = rooted.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
-    tiled = _tiled(rooted, buckets.where("least < most"), block).join(nodes.select("node", "sketch"), "node")
+    tiled = _tiled(rooted, buckets.where("least < most"), block).join(nodes.select("node", "narrow"), "node")
     tiled = tiled.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "size", "node")
     across = tiled.mapInArrow(_across(similarity), "a long, b long").distinct()
-    second = written(across.join(first, ["a", "b"], "left_anti"), "shingle-pairs")
+    second = written(open_(across.join(first, ["a", "b"], "left_anti")), "shingle-pairs")
     more = _links(second, filed, words, similarity)
     whole = written(components(links.unionByName(more)), "shingle-tree")
     labels = filed.select("key", "doc_id", "node").join(whole, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("group"))

@@ -316,11 +316,12 @@ def test_sketches_rule_out_no_similar_pair():
             apart = rng.integers(0, 2**63, round(n * (1 / share - 1))).astype(np.uint64)
             cut = rng.integers(0, len(apart) + 1)
             a, b = np.unique(np.append(both, apart[:cut])), np.unique(np.append(both, apart[cut:]))
-            ends = [shingles._sketches([shingles.sketch(x)]) for x in (a, b)]
-            open_ = shingles.possible(ends[0], len(a), ends[1], len(b), 0.8)[0]
-            assert open_ or not shingles.similar(a, b, 0.8)
-    far = [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2)]
-    assert not shingles.possible(*[x for f in far for x in (shingles._sketches([shingles.sketch(f)]), 300)], 0.8)[0]
+            ends = [shingles.sketch(x) for x in (a, b)]
+            for width in (64, min(map(len, ends))):
+                x, y = (shingles._sketches([shingles.folded(end, width)]) for end in ends)
+                assert shingles.possible(x, len(a), y, len(b), 0.8)[0] or not shingles.similar(a, b, 0.8)
+    far = [np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64)) for _ in range(2)]
+    assert not shingles.possible(*[x for f in far for x in (shingles._sketches([shingles.sketch(f)]), 3000)], 0.8)[0]
 
 
 def test_tiles_hold_every_pair_of_a_bucket_once(spark):
