@@ -252,7 +252,7 @@ def _part(kind: pa.DataType, rows: list, counts: list[int], codes: list[np.ndarr
 
 
 def _shared_words(parts: DataFrame, plain) -> pa.Table:
-    """word, ids, bytes of the words that lie in most parts, at most SHARED_WORDS."""
+    """hash, word, ids of the words that lie in most parts, at most SHARED_WORDS; their ids decode to the word."""
     in_parts = parts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     several = written(in_parts.where((F.col("n") > 1) & (F.octet_length("word") <= SHARED_BYTES)), "bpe-words")
     tail = {r[0]: r[1] for r in several.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}  # a row for each power of two
@@ -261,13 +261,14 @@ def _shared_words(parts: DataFrame, plain) -> pa.Table:
         least -= 1
         held += tail.get(least, 0)
     picked = several.where(F.col("n") >= 1 << least).select("word")
-    blocks = picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").mapInArrow(_blocks(plain), f"words array<binary>, numbers array<array<int>>, table {TABLE_DDL}")
-    coded = blocks.select("words", Folds(F.col("table")).coded("numbers").alias("coded"))
-    return coded.select(F.explode(F.arrays_zip("words", "coded")).alias("x")).select("x.words", "x.coded.ids", "x.coded.bytes").toArrow().rename_columns(["word", "ids", "bytes"])
+    blocks = picked.repartition(max(12, parts.rdd.getNumPartitions()), "word").mapInArrow(_blocks(plain), f"hashes array<long>, words array<binary>, numbers array<array<int>>, table {TABLE_DDL}")
+    coded = blocks.select("hashes", "words", Folds(F.col("table")).coded("numbers").alias("coded"))
+    each = coded.select(F.explode(F.arrays_zip("hashes", "words", "coded")).alias("x"))
+    return each.where("x.coded.bytes = x.words").select("x.hashes", "x.words", "x.coded.ids").toArrow().rename_columns(["hash", "word", "ids"])
 
 
 def _blocks(plain):
-    """Rows of BLOCK words and the rank map."""
+    """Rows of BLOCK words, their hashes and the rank map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = plain.value
@@ -276,20 +277,38 @@ def _blocks(plain):
                 part = batch["word"].slice(a, BLOCK)
                 numbers = codec.numbers(part)
                 whole = [0, len(part)]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, part), pa.ListArray.from_arrays(whole, numbers), codec.table], ["words", "numbers", "table"])
+                hashes = pa.ListArray.from_arrays(whole, pa.array(_hashes(part).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([hashes, pa.ListArray.from_arrays(whole, part), pa.ListArray.from_arrays(whole, numbers), codec.table], ["hashes", "words", "numbers", "table"])
 
     return run
 
 
+def _packed(words: pa.Table) -> bytes:
+    """hash, word, ids in order of the unsigned hash as one batch of an Arrow stream, which a worker reads in place."""
+    order = np.argsort(words["hash"].to_numpy().view(np.uint64), kind="stable")
+    batch = words.take(pa.array(order)).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_table(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Hashes, words and ids of _packed: views of data, so a worker holds nothing else for a shared word."""
+    table = pa.ipc.open_stream(data).read_all()
+    hashes, word, ids = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("hash", "word", "ids"))
+    return hashes.to_numpy().view(np.uint64), word, ids
+
+
 def _hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
 
 
-def _found(words: pa.Array, shared: pa.Array, hashes: np.ndarray, order: np.ndarray) -> pa.Array:
+def _found(words: pa.Array, shared: pa.Array, hashes: np.ndarray) -> pa.Array:
     """The place of each word in shared, null for none, by its place among the sorted hashes: no table is built for each part."""
     if not len(shared):
         return pa.nulls(len(words), pa.int32())
-    at = order[np.minimum(np.searchsorted(hashes, _hashes(words)), len(hashes) - 1)].astype(np.int32)
+    at = np.minimum(np.searchsorted(hashes, _hashes(words)), len(hashes) - 1).astype(np.int32)
     return pc.if_else(pc.equal(shared.take(pa.array(at)), words), pa.array(at), pa.scalar(None, pa.int32()))
 
 
@@ -297,21 +316,17 @@ def _known(shared, plain):
     """Rows of parts with what shared words and pieces give for theirs, and the rest as numbers to be folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codec = pa.ipc.open_stream(shared.value).read_all().combine_chunks(), plain.value
-        word, ids, data = (table[c].chunk(0) if table[c].num_chunks else pa.array([], table[c].type) for c in ("word", "ids", "bytes"))
+        (hashes, word, ids), codec = _unpacked(shared.value), plain.value
         pieces, numbers = codec.whole
-        hashes = _hashes(word)
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
         single = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), numbers).cast(ids.type)
         text = codec.table.field("text").flatten()
         for part in slices(batches, 1):
             words = part["words"].flatten()
-            own, shared_at = pc.index_in(words, value_set=pieces), _found(words, word, hashes, order)
+            own, shared_at = pc.index_in(words, value_set=pieces), _found(words, word, hashes)
             at = pc.coalesce(own, shared_at)
             is_piece = pc.is_valid(own)
             known = pc.if_else(is_piece, single.take(own), ids.take(shared_at))
-            known_bytes = pc.if_else(is_piece, pieces.take(own), data.take(shared_at))
+            known_bytes = pc.if_else(is_piece, pieces.take(own), word.take(shared_at))
             sizes = pc.binary_length(words)
             odd = pc.and_(pc.is_null(at), pc.or_(pc.greater(sizes, LONG), pc.equal(sizes, 0)))
             rare = pc.and_(pc.is_null(at), pc.invert(odd))
@@ -386,11 +401,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col="text", w
     parts = written(rows.mapInArrow(_cut(pattern), f"rows array<{kind}>, counts binary, codes binary, words array<binary>"), "bpe-parts")
     context = spark.sparkContext
     plain = context.broadcast(codec)
-    shared_words = _shared_words(parts, plain)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, shared_words.schema) as stream:
-        stream.write_table(shared_words)
-    shared = context.broadcast(sink.getvalue().to_pybytes())
+    shared = context.broadcast(_packed(_shared_words(parts, plain)))
     schema = f"rows array<{kind}>, counts binary, codes binary, known array<array<int>>, known_bytes array<binary>, longs array<struct<at:int,ids:array<int>,bytes:binary>>, rare_at array<int>, rare array<array<int>>, table {TABLE_DDL}"
     known = parts.mapInArrow(_known(shared, plain), schema)
     whole = known.withColumn("rare", Folds(F.col("table")).coded("rare")).drop("table")

@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -304,6 +307,26 @@ def test_bpe_like_tiktoken(odd, sample):
         assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in got)
 
 
+def test_bpe_shared_words_are_read_in_place():
+    """A worker holds a shared word once: nothing is built beside the broadcast bytes."""
+    n = 200_000
+    word = pa.array([b" word%d" % i for i in range(n)], pa.binary())
+    table = pa.table({"hash": pa.array(bpe._hashes(word).view(np.int64)), "word": word, "ids": pa.array([[i, 7] for i in range(n)], pa.list_(pa.int32()))})
+    data = bpe._packed(table)
+    assert len(data) < 48 * n
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    hashes, words, ids = bpe._unpacked(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n and pa.total_allocated_bytes() - before < n
+    asked = pa.array([b" word0", b"none", b" word199999"], pa.binary())
+    at = bpe._found(asked, words, hashes)
+    assert words.take(at).to_pylist() == [b" word0", None, b" word199999"] and ids.take(at).to_pylist() == [[0, 7], None, [199999, 7]]
+    hashes, words, _ = bpe._unpacked(bpe._packed(table.slice(0, 0)))
+    assert bpe._found(asked, words, hashes).null_count == 3
+
+
 def test_bpe_long_words():
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
