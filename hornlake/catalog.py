@@ -39,7 +39,10 @@ def _spread(df: DataFrame, n: int, *others: str) -> DataFrame:
 
 
 def _bodies(spark, sf_dir, n: int, which: str = "a", **options) -> DataFrame:
-    return body_supports(paths(_graph(spark, sf_dir, which), n, **options))
+    walks = paths(_graph(spark, sf_dir, which), n, **options)
+    found = body_supports(walks)
+    walks.done()
+    return found
 
 
 def _body(n: int, which: str = "a", **options):
@@ -47,8 +50,10 @@ def _body(n: int, which: str = "a", **options):
 
 
 def _cands(spark, sf_dir, n: int, which: str = "a") -> DataFrame:
-    edges = _graph(spark, sf_dir, which)
-    return candidates(paths(edges, n).hold(), heads_per_body=50 if n > 3 else None)
+    walks = paths(_graph(spark, sf_dir, which), n).hold()
+    found = candidates(walks, heads_per_body=50 if n > 3 else None)
+    walks.done()
+    return found
 
 
 def _cand(n: int, which: str = "a"):
@@ -67,14 +72,14 @@ def _mine(n: int, which: str = "a", **options):
 
 
 def _body3_prefixed(spark, sf_dir):
-    edges = _graph(spark, sf_dir)
-    prefixes = prune.redundant(prune.by_support(body_supports(paths(edges, 2)), 2000))
-    return _spread(body_supports(paths(edges, 3, prefixes=prefixes)), 3, "body_support")
+    graph = Graph.of(_graph(spark, sf_dir))
+    prefixes = prune.redundant(prune.by_support(body_supports(paths(graph, 2)), 2000))
+    return _spread(body_supports(paths(graph, 3, prefixes=prefixes)), 3, "body_support")
 
 
 def _nonimproving3(spark, sf_dir):
-    edges = _graph(spark, sf_dir)
-    return _spread(prune.non_improving(body_supports(paths(edges, 3)), body_supports(paths(edges, 2))), 3, "body_support")
+    graph = Graph.of(_graph(spark, sf_dir))
+    return _spread(prune.non_improving(body_supports(paths(graph, 3)), body_supports(paths(graph, 2))), 3, "body_support")
 
 
 def _beam(n: int, width: int):

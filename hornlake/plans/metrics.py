@@ -52,13 +52,14 @@ def _named(found: DataFrame, walks: Walks) -> DataFrame:
 
 def candidates(walks: Walks, *, limit: int | None = None, heads_per_body: int | None = None) -> DataFrame:
     """(body, head, support, pca_denominator) of the best limit closings, each body with its best heads_per_body."""
-    found = supports(walks)
+    tally = walks.tally
+    found = supports(walks) if tally is None else tally.closings
     if heads_per_body is not None:
         best = Window.partitionBy("code").orderBy(F.desc("support"), "head")
         found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= heads_per_body).drop("place")
     if limit is not None:
         found = found.orderBy(F.desc("support"), "code", "head").limit(limit)
-    return _named(_with_denominators(walks.graph.hold(found), walks), walks)
+    return _named(found if tally is not None else _with_denominators(walks.graph.hold(found), walks), walks)
 
 
 def rule_metrics(edges: DataFrame, body: Sequence[str], head: str, factual_only: bool = True) -> DataFrame:

@@ -1,13 +1,14 @@
 """Distinct end points of typed walks whose edges are pairwise different.
 
-A `Graph` is made once for a snapshot: relations become numbers, parallel edges are put together, and one aggregate by
-node tells which relations can follow which. Walks are planned over these relations first: a hop reads only relations
+A `Graph` is made once for a snapshot: edges are written, relations become numbers, and one aggregate by node tells which relations can follow which. Walks are planned over these relations first: a hop reads only relations
 that some walk of the wanted length (with a wanted relation) can take there. Bodies are packed into one number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gc
+import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -15,9 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.graph import factual
+from ..sources.store import remove, scratch
 
 #: Relations that a graph may have. They are kept on the driver, and a table of them is broadcast.
 MOST_RELATIONS = 1 << 18
+#: Vocabularies up to here are held as bits of a long; up to that many relations are picked by name.
+MOST_BITS = 62
+SKIPPED = 100
+#: Walks are tallied for so many edges' sources at a time: shuffle files of one slice go before the next.
+SLICE_ROWS = 1 << 24
+#: Ends that one node's walks over a body may have to be held as an array; if some node may have more, walks stay rows.
+MOST_ENDS = 1 << 22
 
 
 def touches(body: Column, relations: Sequence[str]) -> Column:
@@ -72,11 +81,12 @@ class Codes:
 
 @dataclass
 class Graph:
-    """links (rel as number, src, dst, n parallel edges), each once; numbered edges with their ids; follows by number."""
+    """rows (rel by name, src, dst), an edge each, in the shared folder until release(); numbered edges with their ids."""
 
     edges: DataFrame
     names: tuple[str, ...]
-    links: DataFrame
+    rows: DataFrame
+    folder: str
     held: list[DataFrame] = field(default_factory=list)
 
     @classmethod
@@ -86,17 +96,37 @@ class Graph:
             return edges
         spark = edges.sparkSession
         kept = factual(edges, factual_only).select("eid", "src", "rel", "dst").where(F.col("rel").isNotNull() & F.col("src").isNotNull() & F.col("dst").isNotNull())
-        names = tuple(sorted(r["rel"] for r in kept.select("rel").distinct().limit(MOST_RELATIONS + 1).collect()))
+        folder = scratch(spark, "graph")
+        flat = kept.select("rel", "src", "dst")
+        flat.write.option("compression", "zstd").parquet(f"{folder}/rows")
+        rows = spark.read.schema(flat.schema).parquet(f"{folder}/rows")
+        names = tuple(sorted(r["rel"] for r in rows.select("rel").distinct().limit(MOST_RELATIONS + 1).collect()))
         if len(names) > MOST_RELATIONS:
             raise ValueError(f"more than {MOST_RELATIONS} relations")
-        table = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "rel string, number int"))
-        numbered = kept.join(table, "rel").select("eid", F.col("number").alias("rel"), "src", "dst")
-        links = numbered.groupBy("rel", "src", "dst").agg(F.count("*").alias("n")).persist()
-        return cls(numbered, names, links, [links])
+        graph = cls(kept, names, rows, folder)
+        graph.edges = graph.numbered(kept)
+        graph.tidy()
+        return graph
 
     @property
     def spark(self) -> SparkSession:
-        return self.links.sparkSession
+        return self.rows.sparkSession
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """rows with rel by number."""
+        table = F.broadcast(self.spark.createDataFrame(list(zip(self.names, range(len(self.names)), strict=True)), "rel string, number int"))
+        return rows.join(table, "rel").select(*[c for c in rows.columns if c != "rel"], F.col("number").alias("rel"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """rel as number, src, dst, n parallel edges, each once."""
+        return self.hold(self.numbered(self.rows).groupBy("rel", "src", "dst").agg(F.count("*").alias("n")))
+
+    def taking(self, relations: set) -> DataFrame:
+        """Numbered rows of these relations. Few are picked by name, which lets files of others be skipped."""
+        if len(relations) > SKIPPED:
+            return self.numbered(self.rows).where(_in(F.col("rel"), relations))
+        return self.numbered(self.rows.where(_in(F.col("rel"), {self.names[r] for r in relations})))
 
     def hold(self, df: DataFrame) -> DataFrame:
         """df, persisted until release()."""
@@ -104,25 +134,62 @@ class Graph:
         return df
 
     def release(self) -> None:
+        """Nothing that reads the graph may run any more."""
         while self.held:
             self.held.pop().unpersist()
+        remove(self.spark, self.folder)
+
+    @cached_property
+    def size(self) -> int:
+        """Edges."""
+        return self.rows.count()
+
+    @property
+    def slices(self) -> int:
+        return -(-self.size // SLICE_ROWS) or 1
+
+    def tidy(self) -> None:
+        """Let go of the shuffle files of past jobs, which stay until the driver happens to collect its garbage."""
+        if self.size > SLICE_ROWS // 8:
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def name(self, rel: Column) -> Column:
         return Codes(self.names, 1).name(rel)
 
     def head_counts(self) -> DataFrame:
         """(rel by name, head_count): edges, parallel ones each."""
-        return self.links.groupBy("rel").agg(F.sum("n").alias("head_count")).select(self.name(F.col("rel")).alias("rel"), "head_count")
+        return self.rows.groupBy("rel").agg(F.count("*").alias("head_count"))
 
     def functionality(self) -> DataFrame:
         """(rel by name, functionality): distinct sources by edge."""
-        by_source = self.links.groupBy("rel", "src").agg(F.sum("n").alias("n"))
-        share = by_source.groupBy("rel").agg((F.count("*").cast("double") / F.sum("n").cast("double")).alias("functionality"))
-        return share.select(self.name(F.col("rel")).alias("rel"), "functionality")
+        by_source = self.rows.groupBy("rel", "src").agg(F.count("*").alias("n"))
+        return by_source.groupBy("rel").agg((F.count("*").cast("double") / F.sum("n").cast("double")).alias("functionality"))
+
+    @cached_property
+    def kinds(self) -> Kinds | None:
+        """None for a vocabulary that bits of a long can't hold."""
+        every = range(len(self.names))
+        if not 0 < len(self.names) <= MOST_BITS:
+            return None
+        bits = F.broadcast(self.spark.createDataFrame([(name, 1 << i) for i, name in enumerate(self.names)], "rel string, bit long"))
+        rows, none = self.rows.join(bits, "rel"), F.lit(0).cast("long")
+        out = rows.select(F.col("src").alias("at"), F.col("bit").alias("starts"), none.alias("ends"), F.lit(1).cast("long").alias("out"))
+        into = rows.select(F.col("dst").alias("at"), none.alias("starts"), F.col("bit").alias("ends"), none.alias("out"))
+        nodes = out.unionByName(into).groupBy("at").agg(F.bit_or("starts").alias("starts"), F.bit_or("ends").alias("ends"), F.sum("out").alias("out"))
+        kinds = nodes.groupBy("starts", "ends").agg(F.max("out").alias("out"))
+        has = lambda c, i: F.col(c).bitwiseAND(F.lit(1 << i)) != 0
+        each = [(f"{name}{i}", given, wanted, i) for name, given, wanted in (("f", "ends", "starts"), ("s", "starts", "starts"), ("e", "ends", "ends")) for i in every]
+        row = kinds.agg(F.max("out").alias("out"), *[F.bit_or(F.when(has(given, i), F.col(wanted)).otherwise(none)).alias(c) for c, given, wanted, i in each]).first()
+        self.tidy()
+        sets = lambda name: {i: found for i in every if (found := {j for j in every if (row[f"{name}{i}"] or 0) >> j & 1})}
+        return Kinds(sets("f"), sets("s"), sets("e"), row["out"] or 0)
 
     @cached_property
     def follows(self) -> dict[int, set[int]]:
         """Which relations start where a relation ends: one aggregate by node, whose sets few nodes differ in."""
+        if self.kinds is not None:
+            return self.kinds.follows
         out = self.links.select(F.col("src").alias("at"), F.col("rel").alias("starts"), F.lit(None).cast("int").alias("ends"))
         into = self.links.select(F.col("dst").alias("at"), F.lit(None).cast("int").alias("starts"), F.col("rel").alias("ends"))
         sets = out.unionByName(into).groupBy("at").agg(F.sort_array(F.collect_set("ends")).alias("ends"), F.sort_array(F.collect_set("starts")).alias("starts"))
@@ -134,6 +201,16 @@ class Graph:
         return found
 
 
+@dataclass(frozen=True)
+class Kinds:
+    """By relation: which start where it ends, start where it starts, end where it ends. The most edges out of a node."""
+
+    follows: dict[int, set[int]]
+    beside: dict[int, set[int]]
+    beyond: dict[int, set[int]]
+    most_out: int
+
+
 def joinable(edges: DataFrame) -> dict[str, set[str]]:
     """Which relations start where a relation ends, by name."""
     graph = Graph.of(edges, factual_only=False)
@@ -194,19 +271,44 @@ def allowed(relations: set, follows: dict, n: int, changed: set | None = None) -
     return plans
 
 
+@dataclass(frozen=True)
+class Tally:
+    """bodies (code, body_support) and closings (code, head, support, pca_denominator), heads by number."""
+
+    bodies: DataFrame
+    closings: DataFrame
+
+
 @dataclass
 class Walks:
-    """(code, x, y): distinct ends of the walks of n edges of a graph, by the code of their relations."""
+    """(code, x, y): distinct ends of the walks of n edges of a graph, by the code of their relations; and their tally."""
 
-    df: DataFrame
     graph: Graph
     codes: Codes
     n: int
+    made: Callable[[], DataFrame]
+    counted: Callable[[], Tally | None]
+    held: bool = False
+
+    @cached_property
+    def df(self) -> DataFrame:
+        df = self.made()
+        return self.graph.hold(df) if self.held else df
+
+    @cached_property
+    def tally(self) -> Tally | None:
+        """Counted without a row for each pair of ends; None if the graph doesn't allow it, and rows must be counted."""
+        return self.counted()
 
     def hold(self) -> Walks:
-        self.graph.hold(self.df)
+        self.held = True
         return self
 
+    def done(self) -> None:
+        """Release the graph if counts no longer need it."""
+        if self.tally is not None:
+            self.graph.release()
+
     def named(self, df: DataFrame) -> DataFrame:
         """df with body for its code."""
         return df.select(self.codes.body(F.col("code"), self.n).alias("body"), *[c for c in df.columns if c != "code"])
@@ -217,7 +319,9 @@ class Walks:
 
     def only(self, bodies: DataFrame) -> Walks:
         """Those of the bodies (code)."""
-        return Walks(self.df.join(bodies.select("code"), "code", "left_semi"), self.graph, self.codes, self.n)
+        own = lambda df: df.join(bodies.select("code"), "code", "left_semi")
+        counted = lambda: self.tally and Tally(own(self.tally.bodies), own(self.tally.closings))
+        return Walks(self.graph, self.codes, self.n, lambda: own(self.df), counted)
 
 
 def _in(rel: Column, relations: set) -> Column:
@@ -271,6 +375,93 @@ def _repeated(graph: Graph, codes: Codes, n: int, near: set, limits: dict[int, D
     return walk.where(F.size(F.array_distinct(F.transform("taken", lambda t: t["rel"]))) < n).select("code", "x", "y").distinct()
 
 
+def _numbers(graph: Graph, relations: set) -> DataFrame:
+    """(dst, number) of the nodes in which these relations end, numbered without gaps."""
+    path = f"{graph.folder}/numbers-{uuid.uuid4().hex[:12]}"
+    nodes = graph.taking(relations).select("dst").distinct()
+    nodes.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+    held = graph.spark.read.schema("dst string, id long").parquet(path)
+    task, place = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for row in held.groupBy(task.alias("task")).count().collect():  # a row for each task that wrote
+        offsets.append((row["task"], before))
+        before += row["count"]
+    starts = F.broadcast(graph.spark.createDataFrame(offsets, "task long, before long"))
+    kind = "int" if before < 1 << 31 else "long"
+    return held.join(starts, task == F.col("task")).select("dst", (F.col("before") + place).cast(kind).alias("number"))
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """(x, code, ys) with the ys of each x and code put together, distinct."""
+    return rows.repartition("x").groupBy("x", "code").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+
+
+def _tallied(graph: Graph, codes: Codes, n: int, plans: list[tuple[set, set]], changed: set | None, prefixes: DataFrame | None) -> Tally | None:
+    """The tally of walks over n different relations, made from their last edge to their first.
+
+    What a walk's rest can reach from a node is one array, so that a hop ships an array an edge and not a row a pair of
+    ends, and everything that is counted is counted beside its x. Sources are taken slice by slice.
+    """
+    spark, takes, slices = graph.spark, [take for take, _ in plans], graph.slices
+    if not all(takes):
+        empty = lambda *columns: spark.createDataFrame([], ", ".join(f"{c} long" for c in columns))
+        return Tally(empty("code", "body_support"), empty("code", "head", "support", "pca_denominator").withColumn("head", F.col("head").cast("int")))
+    own = lambda rows, i: rows if slices == 1 else rows.where(F.pmod(F.xxhash64("src"), F.lit(slices)) == i)
+    numbers = _numbers(graph, takes[-1])
+    ends = own_ends = None
+    for hop in range(n - 1, -1, -1):
+        rest, kept = n - 1 - hop, scratch(spark, "tally") if hop == 0 else f"{graph.folder}/ends-{uuid.uuid4().hex[:12]}"
+        for i in range(slices):
+            rows = own(graph.taking(takes[hop]), i)
+            if ends is None:
+                found = rows.join(numbers, "dst").select(F.col("src").alias("x"), codes.first(F.col("rel")).alias("code"), F.array("number").alias("ys"))
+            else:
+                again = reduce(lambda a, b: a | b, [r == F.col("rel") for r in codes.each(F.col("code"), rest)])
+                joined = rows.join(ends, (F.col("dst") == F.col("m")) & ~again)
+                code = F.shiftleft(F.col("rel").cast("long"), codes.bits * rest).bitwiseOR(F.col("code"))
+                found = joined.select(F.col("src").alias("x"), code.alias("code"), "ys")
+            if hop == 0 and changed is not None:
+                found = found.where(reduce(lambda a, b: a | b, [_in(r, changed) for r in codes.each(F.col("code"), n)]))
+            if hop == 0 and prefixes is not None:
+                found = found.withColumn("prefix", F.shiftright("code", codes.bits * (n - 2))).join(prefixes.select(F.col("code").alias("prefix")), "prefix", "left_semi").drop("prefix")
+            found = _sets(found)
+            if hop == 0:
+                found = _counts(graph, codes, found, takes, numbers, lambda rows, i=i: own(rows, i))
+            found.write.mode("append").option("compression", "zstd").parquet(kept)
+            own_ends = spark.read.schema(found.schema).parquet(kept)
+            del found, rows
+            graph.tidy()
+        if hop:
+            ends = own_ends.withColumnRenamed("x", "m")
+            longest = own_ends.agg(F.max(F.size("ys"))).first()[0] or 0
+            if longest * max(1, graph.kinds.most_out) > MOST_ENDS:
+                return None
+    counts = own_ends.groupBy("code", "head").agg(F.sum("support").alias("support"), F.sum("reached").alias("reached"))
+    bodies = counts.where("head < 0").select("code", F.col("reached").alias("body_support"))
+    return Tally(bodies, counts.where("head >= 0 AND support > 0").select("code", "head", "support", F.col("reached").alias("pca_denominator")))
+
+
+def _counts(graph: Graph, codes: Codes, sets: DataFrame, takes: list[set], numbers: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(code, head, support, reached) of sets (x, code, ys): for each head beside its x, and for -1 as a body.
+
+    Ends of a head that no walk ends in have no number; they count for the denominator only.
+    """
+    kinds = graph.kinds
+    meets = {(last, head) for last in takes[-1] for head in kinds.beyond.get(last, ())}
+    heads = {head for first in takes[0] for head in kinds.beside.get(first, ())} & {head for _, head in meets}
+    closing = own(graph.taking(heads)).join(numbers, "dst", "left").select(F.col("src").alias("x"), F.col("rel").alias("head"), "number")
+    closing = closing.repartition("x").groupBy("x", "head").agg(F.collect_list("number").alias("ys"))
+    closing = closing.groupBy("x").agg(F.collect_list(F.struct("head", "ys")).alias("heads"))
+    last = F.col("code").bitwiseAND(F.lit((1 << codes.bits) - 1))
+    met = lambda h: (last * MOST_BITS + h["head"]).isin(*sorted(a * MOST_BITS + b for a, b in meets)) if meets else F.lit(False)
+    reached = F.size("ys").cast("long")
+    count = lambda head, support: F.struct(head.cast("int").alias("head"), support.cast("long").alias("support"), reached.alias("reached"))
+    closed = F.transform(F.filter("heads", met), lambda h: count(h["head"], F.size(F.array_intersect("ys", h["ys"]))))
+    none = F.array(count(F.lit(-1), F.lit(0)))
+    each = sets.join(closing, "x", "left").select("code", F.explode(F.concat(none, F.coalesce(closed, F.filter(none, lambda _: F.lit(False))))).alias("c"))
+    return each.groupBy("code", "c.head").agg(F.sum("c.support").alias("support"), F.sum("c.reached").alias("reached"))
+
+
 def paths(edges: DataFrame | Graph, n: int, *, factual_only: bool = True, changed: Sequence[str] | None = None, prefixes: DataFrame | None = None, bodies: DataFrame | None = None) -> Walks:
     """Distinct ends of the walks of n edges by their relations.
 
@@ -282,19 +473,29 @@ def paths(edges: DataFrame | Graph, n: int, *, factual_only: bool = True, change
     touched = None if not changed else {i for i, name in enumerate(graph.names) if name in set(changed)}
     plans = allowed(set(range(len(graph.names))), graph.follows, n, touched)
     limits = _limits(codes, n, prefixes, bodies)
-    found = _simple(graph, codes, n, plans, touched, limits)
     near = repeating(graph.follows, n)
-    if near and (touched is None or near & touched):
+    repeats = bool(near) and (touched is None or bool(near & touched))
+
+    def made() -> DataFrame:
+        found = _simple(graph, codes, n, plans, touched, limits)
+        if not repeats:
+            return found
         again = _repeated(graph, codes, n, near, limits)
         if touched is not None:
             again = again.where(reduce(lambda a, b: a | b, [_in(r, touched) for r in codes.each(F.col("code"), n)]))
-        found = found.unionByName(again)
-    return Walks(found, graph, codes, n)
+        return found.unionByName(again)
+
+    def counted() -> Tally | None:
+        if repeats or bodies is not None or not codes.packed or graph.kinds is None:
+            return None
+        return _tallied(graph, codes, n, plans, touched, limits.get(2))
+
+    return Walks(graph, codes, n, made, counted)
 
 
 def body_supports(walks: Walks, limit: int | None = None) -> DataFrame:
     """(body, code, body_support), the most frequent first if there is a limit."""
-    counted = walks.df.groupBy("code").agg(F.count("*").alias("body_support"))
+    counted = walks.tally.bodies if walks.tally is not None else walks.df.groupBy("code").agg(F.count("*").alias("body_support"))
     if limit is not None:
         counted = counted.orderBy(F.desc("body_support"), "code").limit(limit)  # codes order as names do
     return walks.named(counted.withColumn("own", F.col("code"))).withColumnRenamed("own", "code")

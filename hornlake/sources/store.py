@@ -23,14 +23,25 @@ def shared_folder(spark: SparkSession) -> str:
     return LOCAL_FALLBACK
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialise(df: DataFrame, name: str = "facts") -> DataFrame:
     """df written to the folder in spark.checkpoint.dir and read back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Store:
     """Tables as folders of Parquet parts under root. A commit names, in one numbered manifest, the parts of every table.
 

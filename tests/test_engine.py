@@ -19,6 +19,7 @@ from hornlake.engine import Engine
 from hornlake.functions import names
 from hornlake.operators import changelog, conflicts, rules
 from hornlake.operators.infer import infer
+from hornlake.plans import paths as paths_module
 from hornlake.plans import prune
 from hornlake.plans.metrics import candidates, rule_metrics
 from hornlake.plans.mine import collisions, mine
@@ -94,6 +95,41 @@ def test_paths_and_scores_on_multigraphs(spark, n, seed, nodes, rels, size):
     assert {(r.x, r.y) for r in one_path(df, body).collect()} == {(x, y) for b, x, y in want if b == body}
 
 
+@pytest.mark.parametrize("n,slice_rows,most_ends", [(2, 1 << 25, 1 << 22), (2, 13, 1 << 22), (3, 13, 1 << 22), (3, 13, 2)])
+def test_tallies_of_layered_graphs(spark, monkeypatch, n, slice_rows, most_ends):
+    """Counts come from arrays beside their sources, in slices, and equal those of the walks one by one."""
+    monkeypatch.setattr(paths_module, "SLICE_ROWS", slice_rows)
+    monkeypatch.setattr(paths_module, "MOST_ENDS", most_ends)
+    rng = random.Random(n)
+    steps = [(0, 1), (0, 1), (1, 2), (1, 2), (2, 3), (0, 2), (0, 3), (1, 3), (0, 2)]
+    edges = [(i, f"l{a}v{rng.randrange(5)}", f"r{k}", f"l{b}v{rng.randrange(7)}") for i, (k, (a, b)) in enumerate(rng.choices(list(enumerate(steps)), k=70))]
+    edges.append((70, "l0v0", "r0", "l1v0"))
+    edges.append((71, "l0v0", "r0", "l1v0"))  # parallel
+    walks = paths(spark.createDataFrame(edges, EDGES), n)
+    assert (walks.tally is None) == (most_ends == 2)
+    want = _walks(edges, n)
+    assert {tuple(r.body): r.body_support for r in body_supports(walks).collect()} == Counter(body for body, _, _ in want)
+    heads, starts = {(s, r, d) for _, s, r, d in edges}, {(s, r) for _, s, r, _ in edges}
+    support = Counter((body, r) for body, x, y in want for r in {e[2] for e in edges} if (x, r, y) in heads)
+    expected = {(body, r): (c, sum(b == body and (x, r) in starts for b, x, _ in want)) for (body, r), c in support.items()}
+    assert {(tuple(r.body), r["head"]): (r.support, r.pca_denominator) for r in candidates(walks).collect()} == expected and expected
+    some = walks.only(body_supports(walks).orderBy("body").limit(1))
+    assert {tuple(r.body) for r in body_supports(some).collect()} == {min(body for body, _, _ in want)}
+    walks.graph.release()
+
+
+@pytest.mark.parametrize("name", ["dedup_signature"])
+def test_queries_without_a_row_for_each_pair_of_ends(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    def refuse(*_):
+        raise AssertionError("walks as rows")
+
+    monkeypatch.setattr(paths_module, "_simple", refuse)
+    monkeypatch.setattr(paths_module, "_repeated", refuse)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
 def test_repeating_relations():
     assert repeating({"a": {"b"}, "b": {"c"}}, 5) == set()
     assert repeating({"a": {"a"}}, 2) == {"a"}
