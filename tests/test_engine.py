@@ -118,7 +118,7 @@ def test_tallies_of_layered_graphs(spark, monkeypatch, n, slice_rows, most_ends)
     walks.graph.release()
 
 
-@pytest.mark.parametrize("name", ["dedup_signature", "rule_list", "mine3", "relation_index", "rules_by_relation", "rule_text_id", "head_budget", "ub_prune_w0"])
+@pytest.mark.parametrize("name", ["dedup_signature", "rule_list", "mine3", "relation_index", "rules_by_relation", "rule_text_id", "head_budget", "ub_prune_w0", "ub_prune_w1"])
 def test_queries_without_a_row_for_each_pair_of_ends(spark, monkeypatch, name):
     import __spark_entry__ as entry
 
