@@ -16,7 +16,7 @@ from .plans.metrics import candidates, functionality, head_counts, relation_freq
 from .plans.mine import mine
 from .plans.paths import Graph, body_supports, one_path, paths
 from .schema import CASE_DDL, InferenceConfig, MiningConfig
-from .sources.graph import CHAINS, ORDERS, load_edges, load_nodes, project, table
+from .sources.graph import CHAINS, KIND_BITS, ORDERS, load_edges, load_nodes, project, table
 
 CHANGED = ("suppNation", "custNation")
 RULES = ((("custNation", "inRegion"), "custRegion", 0.9), (("placedBy", "custNation"), "shipsToNation", 0.8), (("shipsToNation", "inRegion"), "shipsToRegion", 0.7))
@@ -24,22 +24,28 @@ CONFLICTS = {"shipsToNation": {"notShipped"}}
 NOW = datetime(2024, 1, 1)
 
 
-def _graph(spark: SparkSession, sf_dir: str, which: str = "a") -> DataFrame:
-    """a: orders, b: chains from customers, c: a with a conflicting relation, f: a with some edges inferred."""
+def _graph(spark: SparkSession, sf_dir: str, which: str = "a", coded: bool = False) -> DataFrame:
+    """a: orders, b: chains from customers, c: a with a conflicting relation, f: a with some edges inferred. Nodes are numbers if coded."""
     relations = {"b": CHAINS, "c": (*ORDERS, "notShipped")}.get(which, ORDERS)
-    edges = project(spark, sf_dir, relations)
+    edges = project(spark, sf_dir, relations, coded)
     if which == "f":
-        inferred = (F.col("rel") == "shipsToNation") & (F.substring("src", 2, 20).cast("long") % 7 == 0)
+        key = F.shiftright("src", KIND_BITS) if coded else F.substring("src", 2, 20).cast("long")
+        inferred = (F.col("rel") == "shipsToNation") & (key % 7 == 0)
         edges = edges.withColumn("is_inferred", inferred)
     return edges
 
 
+def _coded(spark: SparkSession, sf_dir: str, which: str = "a") -> DataFrame:
+    """The graph for results that name relations only."""
+    return _graph(spark, sf_dir, which, coded=True)
+
+
 def _spread(df: DataFrame, n: int, *others: str) -> DataFrame:
     return df.select(*[F.get("body", i).alias(f"r{i + 1}") for i in range(n)], *others)
 
 
 def _bodies(spark, sf_dir, n: int, which: str = "a", **options) -> DataFrame:
-    walks = paths(_graph(spark, sf_dir, which), n, **options)
+    walks = paths(_coded(spark, sf_dir, which), n, **options)
     found = body_supports(walks)
     walks.done()
     return found
@@ -50,7 +56,7 @@ def _body(n: int, which: str = "a", **options):
 
 
 def _cands(spark, sf_dir, n: int, which: str = "a") -> DataFrame:
-    walks = paths(_graph(spark, sf_dir, which), n).hold()
+    walks = paths(_coded(spark, sf_dir, which), n).hold()
     found = candidates(walks, heads_per_body=50 if n > 3 else None)
     walks.done()
     return found
@@ -68,7 +74,7 @@ LOOSE = {"min_pca_confidence": 0.01}
 
 
 def _mine(n: int, which: str = "a", **options):
-    return lambda spark, sf_dir: _rules_out(mine(_graph(spark, sf_dir, which), MiningConfig(body_length=n, **LOOSE | options)))
+    return lambda spark, sf_dir: _rules_out(mine(_coded(spark, sf_dir, which), MiningConfig(body_length=n, **LOOSE | options)))
 
 
 def _body3_prefixed(spark, sf_dir):
@@ -149,7 +155,7 @@ def _rule_upsert(spark, sf_dir):
 
 
 def _mined(spark, sf_dir) -> DataFrame:
-    return mine(_graph(spark, sf_dir), MiningConfig(**LOOSE))
+    return mine(_coded(spark, sf_dir), MiningConfig(**LOOSE))
 
 
 def _transitions(spark, _):
@@ -247,7 +253,7 @@ def queries():
         "rule_list": lambda s, d: rules.listed(_mined(s, d), "discovered", 3).select("rule_id", "pca_confidence", "support"),
         "rules_by_relation": lambda s, d: rules.by_relations(_mined(s, d), ["inRegion", "filledBy"]).select("rule_id"),
         "relation_index": lambda s, d: rules.relation_index(_mined(s, d)),
-        "rule_text_id": lambda s, d: mine(_graph(s, d), MiningConfig(body_length=3, **LOOSE)).select("rule_id", "rule_text"),
+        "rule_text_id": lambda s, d: mine(_coded(s, d), MiningConfig(body_length=3, **LOOSE)).select("rule_id", "rule_text"),
         "transition_matrix": _transitions,
         "changelog_dedup_seq": _appended,
         "changelog_fold": lambda s, d: changelog.folded(_log(s, d)),

@@ -7,6 +7,7 @@ that some walk of the wanted length (with a wanted relation) can take there. Bod
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.graph import factual
+from ..sources.graph import KIND_BITS, factual
 from ..sources.store import remove, scratch
 
 #: Relations that a graph may have. They are kept on the driver, and a table of them is broadcast.
@@ -25,6 +26,10 @@ MOST_BITS = 62
 SKIPPED = 100
 #: Walks are tallied for so many edges' sources at a time: shuffle files of one slice go before the next.
 SLICE_ROWS = 1 << 24
+#: Bodies, heads and closings that one aggregate may have columns for.
+MOST_COLUMNS = 100
+#: Nodes that are numbers are counted in so many buckets.
+BUCKETS = 1 << 13
 #: Ends that one node's walks over a body may have to be held as an array; if some node may have more, walks stay rows.
 MOST_ENDS = 1 << 22
 
@@ -81,12 +86,16 @@ class Codes:
 
 @dataclass
 class Graph:
-    """rows (rel by name, src, dst), an edge each, in the shared folder until release(); numbered edges with their ids."""
+    """rows (rel by name, src, dst), an edge each, in the shared folder until release(); numbered edges with their ids.
+
+    Nodes are text or numbers (long).
+    """
 
     edges: DataFrame
     names: tuple[str, ...]
     rows: DataFrame
     folder: str
+    known: dict[str, dict]
     held: list[DataFrame] = field(default_factory=list)
 
     @classmethod
@@ -100,10 +109,16 @@ class Graph:
         flat = kept.select("rel", "src", "dst")
         flat.write.option("compression", "zstd").parquet(f"{folder}/rows")
         rows = spark.read.schema(flat.schema).parquet(f"{folder}/rows")
-        names = tuple(sorted(r["rel"] for r in rows.select("rel").distinct().limit(MOST_RELATIONS + 1).collect()))
+        known = [F.count("*").alias("n")]
+        if dict(rows.dtypes)["src"] == "bigint":
+            place = lambda c: F.col(c).bitwiseAND(F.lit((1 << KIND_BITS) - 1)).cast("int")
+            known += [F.bit_or(F.call_function("shiftleft", F.lit(1), place(c))).alias(f"{c}_kinds") for c in ("src", "dst")]
+            known += [F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high")]
+        relations = {r["rel"]: r.asDict() for r in rows.groupBy("rel").agg(*known).limit(MOST_RELATIONS + 1).collect()}
+        names = tuple(sorted(relations))
         if len(names) > MOST_RELATIONS:
             raise ValueError(f"more than {MOST_RELATIONS} relations")
-        graph = cls(kept, names, rows, folder)
+        graph = cls(kept, names, rows, folder, relations)
         graph.edges = graph.numbered(kept)
         graph.tidy()
         return graph
@@ -139,27 +154,37 @@ class Graph:
             self.held.pop().unpersist()
         remove(self.spark, self.folder)
 
-    @cached_property
+    @property
     def size(self) -> int:
         """Edges."""
-        return self.rows.count()
+        return sum(x["n"] for x in self.known.values())
 
-    @property
-    def slices(self) -> int:
-        return -(-self.size // SLICE_ROWS) or 1
+    def slices(self, relations: set) -> int:
+        """In how many the sources of these relations are taken."""
+        return -(-sum(self.known[self.names[r]]["n"] for r in relations) // SLICE_ROWS) or 1
+
+    @cached_property
+    def coded(self) -> str | None:
+        """The type that holds the nodes if they are numbers."""
+        if dict(self.rows.dtypes)["src"] != "bigint":
+            return None
+        return "int" if all(x["low"] >= -(1 << 31) and x["high"] < 1 << 31 for x in self.known.values()) else "long"
 
     def tidy(self) -> None:
         """Let go of the shuffle files of past jobs, which stay until the driver happens to collect its garbage."""
         if self.size > SLICE_ROWS // 8:
             gc.collect()
-            self.spark._jvm.System.gc()
+            self.spark.range(1).count()  # until another job runs, the last one is held
+            for _ in range(2):  # some are let go of only by what the first lets go of
+                self.spark._jvm.System.gc()
+                time.sleep(0.5)
 
     def name(self, rel: Column) -> Column:
         return Codes(self.names, 1).name(rel)
 
     def head_counts(self) -> DataFrame:
         """(rel by name, head_count): edges, parallel ones each."""
-        return self.rows.groupBy("rel").agg(F.count("*").alias("head_count"))
+        return self.spark.createDataFrame([(rel, self.known[rel]["n"]) for rel in self.names], "rel string, head_count long")
 
     def functionality(self) -> DataFrame:
         """(rel by name, functionality): distinct sources by edge."""
@@ -172,6 +197,8 @@ class Graph:
         every = range(len(self.names))
         if not 0 < len(self.names) <= MOST_BITS:
             return None
+        if self.coded and (known := self._kinds_of_numbers()):
+            return known
         bits = F.broadcast(self.spark.createDataFrame([(name, 1 << i) for i, name in enumerate(self.names)], "rel string, bit long"))
         rows, none = self.rows.join(bits, "rel"), F.lit(0).cast("long")
         out = rows.select(F.col("src").alias("at"), F.col("bit").alias("starts"), none.alias("ends"), F.lit(1).cast("long").alias("out"))
@@ -185,6 +212,18 @@ class Graph:
         sets = lambda name: {i: found for i in every if (found := {j for j in every if (row[f"{name}{i}"] or 0) >> j & 1})}
         return Kinds(sets("f"), sets("s"), sets("e"), row["out"] or 0)
 
+    def _kinds_of_numbers(self) -> Kinds | None:
+        """Kinds as far as the kinds of nodes tell, which may be too many; None if a relation might then come again."""
+        meet = lambda a, b: {i: {j for j, y in enumerate(self.names) if self.known[x][a] & self.known[y][b]} for i, x in enumerate(self.names)}
+        follows = {i: found for i, found in meet("dst_kinds", "src_kinds").items() if found}
+        return None if repeating(follows, len(self.names) + 1) else Kinds(follows, meet("src_kinds", "src_kinds"), meet("dst_kinds", "dst_kinds"), None)
+
+    def most_out(self, relations: set) -> int:
+        """At least the most edges of these relations out of a node."""
+        if self.kinds.most_out is not None:
+            return self.kinds.most_out
+        return self.taking(relations).groupBy(F.pmod(F.xxhash64("src"), F.lit(BUCKETS)).alias("bucket")).count().agg(F.max("count")).first()[0] or 0
+
     @cached_property
     def follows(self) -> dict[int, set[int]]:
         """Which relations start where a relation ends: one aggregate by node, whose sets few nodes differ in."""
@@ -203,12 +242,12 @@ class Graph:
 
 @dataclass(frozen=True)
 class Kinds:
-    """By relation: which start where it ends, start where it starts, end where it ends. The most edges out of a node."""
+    """By relation: which start where it ends, start where it starts, end where it ends. The most edges out of a node, if counted."""
 
     follows: dict[int, set[int]]
     beside: dict[int, set[int]]
     beyond: dict[int, set[int]]
-    most_out: int
+    most_out: int | None
 
 
 def joinable(edges: DataFrame) -> dict[str, set[str]]:
@@ -396,52 +435,127 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.repartition("x").groupBy("x", "code").agg(F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
 
 
+def _numbered_ends(graph: Graph, rows: DataFrame, numbers: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows with the number of dst: of nodes that are numbers themselves, else that in numbers."""
+    return rows.withColumn("number", F.col("dst").cast(graph.coded)) if numbers is None else rows.join(numbers, "dst", how)
+
+
+def _planned(codes: Codes, follows: dict[int, set[int]], plans: list[tuple[set, set]]) -> list[tuple[int, ...]] | None:
+    """The bodies over different relations that the plans allow; None if they are more than bits of a long."""
+    found: list[tuple[int, ...]] = [(r,) for r in sorted(plans[0][0])]
+    for take, _ in plans[1:]:
+        found = [(*body, r) for body in found for r in sorted(follows.get(body[-1], set()) & take) if r not in body]
+        if len(found) > MOST_BITS**2:
+            return None
+    return found
+
+
+def _own(rows: DataFrame, i: int, slices: int) -> DataFrame:
+    return rows if slices == 1 else rows.where(F.pmod(F.xxhash64("src"), F.lit(slices)) == i)
+
+
 def _tallied(graph: Graph, codes: Codes, n: int, plans: list[tuple[set, set]], changed: set | None, prefixes: DataFrame | None) -> Tally | None:
     """The tally of walks over n different relations, made from their last edge to their first.
 
     What a walk's rest can reach from a node is one array, so that a hop ships an array an edge and not a row a pair of
     ends, and everything that is counted is counted beside its x. Sources are taken slice by slice.
     """
-    spark, takes, slices = graph.spark, [take for take, _ in plans], graph.slices
+    spark, takes = graph.spark, [take for take, _ in plans]
+    bodies = _planned(codes, graph.follows, plans)
+    if bodies is not None:
+        before = None if prefixes is None else {r["code"] for r in prefixes.select("code").collect()}  # of pairs of at most MOST_BITS relations
+        pair = lambda body: body[0] << codes.bits | body[1]
+        bodies = [b for b in bodies if (changed is None or changed & set(b)) and (before is None or pair(b) in before)]
+        takes = [{b[hop] for b in bodies} for hop in range(n)]
     if not all(takes):
         empty = lambda *columns: spark.createDataFrame([], ", ".join(f"{c} long" for c in columns))
         return Tally(empty("code", "body_support"), empty("code", "head", "support", "pca_denominator").withColumn("head", F.col("head").cast("int")))
-    own = lambda rows, i: rows if slices == 1 else rows.where(F.pmod(F.xxhash64("src"), F.lit(slices)) == i)
-    numbers = _numbers(graph, takes[-1])
-    ends = own_ends = None
+    closings = [(b, h) for b in bodies or () for h in sorted(graph.kinds.beside.get(b[0], set()) & graph.kinds.beyond.get(b[-1], set()))]
+    beside = bodies is not None and n > 1 and len(bodies) + len({h for _, h in closings}) + len(closings) <= MOST_COLUMNS
+    numbers = None if graph.coded else _numbers(graph, takes[-1])
+    ends = None
     for hop in range(n - 1, -1, -1):
-        rest, kept = n - 1 - hop, scratch(spark, "tally") if hop == 0 else f"{graph.folder}/ends-{uuid.uuid4().hex[:12]}"
+        if hop == 0 and beside:
+            return _summed(graph, codes, n, bodies, closings, ends, numbers)
+        kept, slices = scratch(spark, "tally") if hop == 0 else f"{graph.folder}/ends-{uuid.uuid4().hex[:12]}", graph.slices(takes[hop])
         for i in range(slices):
-            rows = own(graph.taking(takes[hop]), i)
-            if ends is None:
-                found = rows.join(numbers, "dst").select(F.col("src").alias("x"), codes.first(F.col("rel")).alias("code"), F.array("number").alias("ys"))
-            else:
-                again = reduce(lambda a, b: a | b, [r == F.col("rel") for r in codes.each(F.col("code"), rest)])
-                joined = rows.join(ends, (F.col("dst") == F.col("m")) & ~again)
-                code = F.shiftleft(F.col("rel").cast("long"), codes.bits * rest).bitwiseOR(F.col("code"))
-                found = joined.select(F.col("src").alias("x"), code.alias("code"), "ys")
-            if hop == 0 and changed is not None:
-                found = found.where(reduce(lambda a, b: a | b, [_in(r, changed) for r in codes.each(F.col("code"), n)]))
-            if hop == 0 and prefixes is not None:
-                found = found.withColumn("prefix", F.shiftright("code", codes.bits * (n - 2))).join(prefixes.select(F.col("code").alias("prefix")), "prefix", "left_semi").drop("prefix")
-            found = _sets(found)
-            if hop == 0:
-                found = _counts(graph, codes, found, takes, numbers, lambda rows, i=i: own(rows, i))
-            found.write.mode("append").option("compression", "zstd").parquet(kept)
-            own_ends = spark.read.schema(found.schema).parquet(kept)
-            del found, rows
+            schema = _hop(graph, codes, n, hop, i, slices, takes, ends, numbers, changed, prefixes, kept)
             graph.tidy()
+        own_ends = spark.read.schema(schema).parquet(kept)
         if hop:
             ends = own_ends.withColumnRenamed("x", "m")
             longest = own_ends.agg(F.max(F.size("ys"))).first()[0] or 0
-            if longest * max(1, graph.kinds.most_out) > MOST_ENDS:
+            if longest * max(1, graph.most_out(takes[hop - 1])) > MOST_ENDS:
                 return None
     counts = own_ends.groupBy("code", "head").agg(F.sum("support").alias("support"), F.sum("reached").alias("reached"))
-    bodies = counts.where("head < 0").select("code", F.col("reached").alias("body_support"))
-    return Tally(bodies, counts.where("head >= 0 AND support > 0").select("code", "head", "support", F.col("reached").alias("pca_denominator")))
-
-
-def _counts(graph: Graph, codes: Codes, sets: DataFrame, takes: list[set], numbers: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    found = counts.where("head < 0").select("code", F.col("reached").alias("body_support"))
+    return Tally(found, counts.where("head >= 0 AND support > 0").select("code", "head", "support", F.col("reached").alias("pca_denominator")))
+
+
+def _hop(graph: Graph, codes: Codes, n: int, hop: int, i: int, slices: int, takes: list[set], ends: DataFrame | None, numbers: DataFrame | None, changed: set | None, prefixes: DataFrame | None, kept: str):
+    """Write one slice of a hop's sets, or of the counts if it is the first, to kept; its schema. What it read is let go of on return."""
+    rest, rows = n - 1 - hop, _own(graph.taking(takes[hop]), i, slices)
+    if ends is None:
+        found = _numbered_ends(graph, rows, numbers).select(F.col("src").alias("x"), codes.first(F.col("rel")).alias("code"), F.array("number").alias("ys"))
+    else:
+        found = _joined(codes, rows, ends, rest).select("x", "code", "ys")
+    if hop == 0 and changed is not None:
+        found = found.where(reduce(lambda a, b: a | b, [_in(r, changed) for r in codes.each(F.col("code"), n)]))
+    if hop == 0 and prefixes is not None:
+        found = found.withColumn("prefix", F.shiftright("code", codes.bits * (n - 2))).join(prefixes.select(F.col("code").alias("prefix")), "prefix", "left_semi").drop("prefix")
+    found = _sets(found)
+    if hop == 0:
+        found = _counts(graph, codes, found, takes, numbers, lambda rows: _own(rows, i, slices))
+    found.write.mode("append").option("compression", "zstd").parquet(kept)
+    return found.schema
+
+
+def _joined(codes: Codes, rows: DataFrame, ends: DataFrame, rest: int) -> DataFrame:
+    """(x, code, ys): the edges before the walks of `rest` edges whose ends are given, without repeated relations."""
+    again = reduce(lambda a, b: a | b, [r == F.col("rel") for r in codes.each(F.col("code"), rest)])
+    joined = rows.join(ends, (F.col("dst") == F.col("m")) & ~again)
+    return joined.select(F.col("src").alias("x"), F.shiftleft(F.col("rel").cast("long"), codes.bits * rest).bitwiseOR(F.col("code")).alias("code"), "ys")
+
+
+def _summed(graph: Graph, codes: Codes, n: int, bodies: list[tuple[int, ...]], closings: list[tuple[tuple[int, ...], int]], ends: DataFrame, numbers: DataFrame | None) -> Tally:
+    """The tally by the ends (m, code, ys) of all edges but the first: one aggregate by x has an array for each body and head."""
+    firsts, heads = {b[0] for b in bodies}, {h for _, h in closings}
+    slices = graph.slices(firsts | heads)
+    sums: dict[str, int] = {}
+    for i in range(slices):
+        row = _sums(graph, codes, n, bodies, closings, ends, numbers, lambda rows, i=i: _own(rows, i, slices))
+        sums = {c: sums.get(c, 0) + (x or 0) for c, x in row.items()}
+        graph.tidy()
+    code = {b: reduce(lambda a, r: a << codes.bits | r, b) for b in bodies}
+    found = [(code[b], x) for k, b in enumerate(bodies) if (x := sums[f"fan{k}"])]
+    closed = [(code[b], h, x, sums[f"den{k}"]) for k, (b, h) in enumerate(closings) if (x := sums[f"sup{k}"])]
+    return Tally(graph.spark.createDataFrame(found, "code long, body_support long"), graph.spark.createDataFrame(closed, "code long, head int, support long, pca_denominator long"))
+
+
+def _sums(graph: Graph, codes: Codes, n: int, bodies: list[tuple[int, ...]], closings: list[tuple[tuple[int, ...], int]], ends: DataFrame, numbers: DataFrame | None, own: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
+    """fan by body, sup and den by closing, of some sources."""
+    heads = sorted({h for _, h in closings})
+    place = {b: k for k, b in enumerate(bodies)}
+    is_body = lambda b: F.col("code") == F.lit(reduce(lambda a, r: a << codes.bits | r, b)).cast("long")
+    body = reduce(lambda when, b: when.when(is_body(b), F.lit(place[b])), bodies[1:], F.when(is_body(bodies[0]), F.lit(0)))
+    rows = _joined(codes, own(graph.taking({b[0] for b in bodies})), ends, n - 1).select("x", "ys", body.alias("body"), F.lit(None).cast("int").alias("head")).where("body IS NOT NULL")
+    if closings:
+        closing = _numbered_ends(graph, own(graph.taking(set(heads))), numbers, "left")
+        rows = rows.unionByName(closing.select(F.col("src").alias("x"), F.array("number").alias("ys"), F.lit(None).cast("int").alias("body"), F.col("rel").cast("int").alias("head")))
+    lists = [F.collect_list(F.when(F.col("body") == k, F.col("ys"))).alias(f"b{k}") for k in range(len(bodies))]
+    lists += [F.collect_list(F.when(F.col("head") == h, F.col("ys"))).alias(f"h{h}") for h in heads]
+    sets = rows.repartition("x").groupBy("x").agg(*lists).select(*[F.array_distinct(F.flatten(f"b{k}")).alias(f"b{k}") for k in range(len(bodies))], *[F.flatten(f"h{h}").alias(f"h{h}") for h in heads])
+    size, none = lambda c: F.size(c).cast("long"), F.lit(0).cast("long")
+    each = [size(f"b{k}").alias(f"fan{k}") for k in range(len(bodies))]
+    for k, (b, h) in enumerate(closings):
+        own_b, own_h = f"b{place[b]}", f"h{h}"
+        met = F.size(own_h) > 0
+        each += [F.when(met & (F.size(own_b) > 0), size(F.array_intersect(own_b, own_h))).otherwise(none).alias(f"sup{k}"), F.when(met, size(own_b)).otherwise(none).alias(f"den{k}")]
+    counted = sets.select(*each)
+    return counted.agg(*[F.sum(c).alias(c) for c in counted.columns]).first().asDict()
+
+
+def _counts(graph: Graph, codes: Codes, sets: DataFrame, takes: list[set], numbers: DataFrame | None, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(code, head, support, reached) of sets (x, code, ys): for each head beside its x, and for -1 as a body.
 
     Ends of a head that no walk ends in have no number; they count for the denominator only.
@@ -449,7 +563,7 @@ def _counts(graph: Graph, codes: Codes, sets: DataFrame, takes: list[set], numbe
     kinds = graph.kinds
     meets = {(last, head) for last in takes[-1] for head in kinds.beyond.get(last, ())}
     heads = {head for first in takes[0] for head in kinds.beside.get(first, ())} & {head for _, head in meets}
-    closing = own(graph.taking(heads)).join(numbers, "dst", "left").select(F.col("src").alias("x"), F.col("rel").alias("head"), "number")
+    closing = _numbered_ends(graph, own(graph.taking(heads)), numbers, "left").select(F.col("src").alias("x"), F.col("rel").alias("head"), "number")
     closing = closing.repartition("x").groupBy("x", "head").agg(F.collect_list("number").alias("ys"))
     closing = closing.groupBy("x").agg(F.collect_list(F.struct("head", "ys")).alias("heads"))
     last = F.col("code").bitwiseAND(F.lit((1 << codes.bits) - 1))

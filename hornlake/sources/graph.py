@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,9 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _edge(rows: DataFrame, rel: str, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
-    end = lambda kind, column: F.concat(F.lit(kind), F.col(column).cast("string"))
-    return rows.select(end(*src).alias("src"), F.lit(rel).alias("rel"), end(*dst).alias("dst"))
+#: Kinds of nodes, by the letter that their text begins with; a number is the key before the place of its kind.
+KINDS = "oscpnr"
+KIND_BITS = 4
+
+
+def _number(kind: str, column: str) -> Column:
+    key, most = F.col(column).cast("long"), 1 << (63 - KIND_BITS)
+    fits = F.shiftleft(key, KIND_BITS).bitwiseOR(F.lit(KINDS.index(kind)).cast("long"))
+    return F.when(key.between(-most, most - 1), fits).when(key.isNotNull(), F.raise_error(F.concat(F.lit(f"{column} is too large: "), key.cast("string"))))
+
+
+def _text(kind: str, column: str) -> Column:
+    return F.concat(F.lit(kind), F.col(column).cast("string"))
 
 
 def with_ids(edges: DataFrame) -> DataFrame:
@@ -20,8 +30,13 @@ def with_ids(edges: DataFrame) -> DataFrame:
     return edges.select(F.xxhash64("rel", "src", "dst").alias("eid"), "src", "rel", "dst", *[c for c in edges.columns if c not in ("eid", "src", "rel", "dst")])
 
 
-def project(spark: SparkSession, sf_dir: str, relations: tuple[str, ...]) -> DataFrame:
-    """(eid, src, rel, dst) of the named relations over the order tables."""
+def project(spark: SparkSession, sf_dir: str, relations: tuple[str, ...], coded: bool = False) -> DataFrame:
+    """(eid, src, rel, dst) of the named relations over the order tables; nodes are text or, if coded, numbers, one for each text."""
+    end = _number if coded else _text
+
+    def _edge(rows: DataFrame, rel: str, src: tuple[str, str], dst: tuple[str, str]) -> DataFrame:
+        return rows.select(end(*src).alias("src"), F.lit(rel).alias("rel"), end(*dst).alias("dst"))
+
     line, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     of_customer = orders.join(customer, orders.o_custkey == customer.c_custkey)

@@ -25,7 +25,7 @@ from hornlake.plans.metrics import candidates, rule_metrics
 from hornlake.plans.mine import collisions, mine
 from hornlake.plans.paths import Codes, allowed, body_supports, joinable, one_path, paths, repeating
 from hornlake.schema import CASE_DDL, CHANGE_DDL, RULE_DDL, InferenceConfig, MiningConfig, Settings
-from hornlake.sources.graph import load_edges, load_nodes, synthetic
+from hornlake.sources.graph import ORDERS, load_edges, load_nodes, project, synthetic
 from hornlake.sources.store import Store
 from hornlake.streaming.changes import change_stream, on_changes, relation_activity
 
@@ -130,6 +130,29 @@ def test_queries_without_a_row_for_each_pair_of_ends(spark, monkeypatch, name):
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
 
 
+@pytest.mark.parametrize("name", ["head_budget", "mine3", "relation_index", "rule_list", "rule_text_id", "rules_by_relation", "ub_prune_w0", "ub_prune_w1"])
+def test_queries_count_numbered_nodes_in_one_aggregate(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    def refuse(*_):
+        raise AssertionError("nodes as text, or heads joined to sets")
+
+    monkeypatch.setattr(paths_module, "_numbers", refuse)
+    monkeypatch.setattr(paths_module, "_counts", refuse)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("n,columns", [(2, 100), (3, 100), (3, 0)])
+def test_numbered_nodes_give_the_counts_of_text(spark, monkeypatch, n, columns):
+    found = []
+    for coded in (False, True):
+        monkeypatch.setattr(paths_module, "MOST_COLUMNS", columns if coded else 100)
+        walks = paths(project(spark, "/root/testdata/sf0.001", ORDERS, coded), n)
+        found.append((sorted(map(str, body_supports(walks).drop("code").collect())), sorted(map(str, candidates(walks).collect()))))
+        walks.graph.release()
+    assert found[0] == found[1] and all(found[0])
+
+
 def test_repeating_relations():
     assert repeating({"a": {"b"}, "b": {"c"}}, 5) == set()
     assert repeating({"a": {"a"}}, 2) == {"a"}
